@@ -36,8 +36,15 @@ SELECT page_id, host, path, rule,
        word_rule FROM b"""
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.mixing import mix_sources
+
+    out = mix_sources(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter}
+    return {"op1_url_filter": op1_url_filter, "op6_mix_sources": op6_mix_sources}
 
 
 def oracle_sql() -> dict:
