@@ -36,6 +36,12 @@ SELECT page_id, host, path, rule,
        word_rule FROM b"""
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.mixing import mix_sources
 
@@ -44,7 +50,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op6_mix_sources": op6_mix_sources}
+    return {"op1_url_filter": op1_url_filter, "op3_shards": op3_shards, "op6_mix_sources": op6_mix_sources}
 
 
 def oracle_sql() -> dict:
