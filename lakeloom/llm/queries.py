@@ -49,8 +49,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=0.8).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op3_shards": op3_shards, "op6_mix_sources": op6_mix_sources}
+    return {"op1_url_filter": op1_url_filter, "op3_shards": op3_shards, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates}
 
 
 def oracle_sql() -> dict:
