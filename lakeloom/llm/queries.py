@@ -55,8 +55,14 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=0.8).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op3_shards": op3_shards, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates}
+    return {"op1_url_filter": op1_url_filter, "op3_shards": op3_shards, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict:
