@@ -42,6 +42,12 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.mixing import mix_sources
 
@@ -62,7 +68,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op3_shards": op3_shards, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates, "op9_decontaminate": op9_decontaminate}
+    return {"op1_url_filter": op1_url_filter, "op3_shards": op3_shards, "op5_quality": op5_quality, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict:
