@@ -11,41 +11,44 @@ from lakeloom.llm.common import cut, discard, ranked
 GROUP_SALT = 512
 
 
-def _sizes(state: DataFrame, shards: int) -> tuple[list[int], list[int]]:
-    """Rows and unlinked rows of each shard: two numbers a shard for the driver."""
-    got = {r["shard"]: (r["n"], r["loose"]) for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("linked") == 0, 1)).alias("loose")).collect()}
-    return [got.get(k, (0, 0))[0] for k in range(shards)], [got.get(k, (0, 0))[1] for k in range(shards)]
+def _counts(df: DataFrame, shards: int) -> list[int]:
+    """Rows of each shard: a number a shard for the driver."""
+    got = {r["shard"]: r["count"] for r in df.groupBy("shard").count().collect()}
+    return [got.get(k, 0) for k in range(shards)]
 
 
 def _pick(values: list[int], at):
     return F.element_at(F.array(*[F.lit(int(v)) for v in values]), at + 1)
 
 
-def _propagate(state: DataFrame, shards: int, rows: int, rnd: int) -> tuple[DataFrame, int]:
+def _propagate(linked: DataFrame, loose: DataFrame, shards: int, rnd: int) -> tuple[DataFrame, DataFrame, int]:
     """One round: linked rows move to the shard where most of their group is and where unlinked
     rows can make place; as many unlinked rows fill the shards that were left."""
-    sizes, room = _sizes(state, shards)
-    counts = state.where("linked = 1").groupBy("gid", "shard").agg(F.count(F.lit(1)).alias("cnt"), F.first("members").alias("members"))
+    room = _counts(loose, shards)
+    counts = linked.groupBy("gid", "shard").agg(F.count(F.lit(1)).alias("cnt"), F.first("members").alias("members"))
     # A group has at most one row per shard here.
     group = Window.partitionBy("gid")
     open_to = F.when(_pick(room, F.col("shard")) > 0, F.struct("cnt", F.xxhash64("gid", "shard"), "shard"))
     plan = counts.withColumn("best", F.max(open_to).over(group)).where("best IS NOT NULL AND best.shard <> shard")
     # A shard that holds more of the group than the best open one is full of it: its rows stay.
-    plan = plan.where(F.struct("cnt", F.xxhash64("gid", "shard")) < F.struct("best.cnt", F.xxhash64("gid", "best.shard"))).select("gid", "shard", F.col("best.shard").alias("to"), F.col("best.cnt").alias("gain"), F.explode(F.sequence(F.lit(0), F.floor((F.col("members") - 1) / GROUP_SALT).cast("int"))).alias("salt"))
-    salt = F.pmod(F.xxhash64("row"), F.floor((F.col("members") - 1) / GROUP_SALT) + 1).cast("int")
-    movers = state.where("linked = 1").withColumn("salt", salt).join(plan, ["gid", "shard", "salt"]).select("row", "gid", "shard", "to", "gain")
-    movers = cut(movers, f"shard-movers{rnd}")
-    n = movers.count()
+    plan = plan.where(F.struct("cnt", F.xxhash64("gid", "shard")) < F.struct("best.cnt", F.xxhash64("gid", "best.shard")))
+    salts = lambda: F.floor((F.col("members") - 1) / GROUP_SALT).cast("int")
+    plan = plan.select("gid", "shard", F.col("best.shard").alias("to"), F.explode(F.sequence(F.lit(0), salts())).alias("salt"))
+    salt = F.pmod(F.xxhash64("row"), salts() + 1).cast("int")
+    wishes = cut(linked.withColumn("salt", salt).join(plan, ["gid", "shard", "salt"], "left").drop("salt"), f"shard-wishes{rnd}")
+    n = wishes.where("to IS NOT NULL").count()
     if not n:
-        discard(movers)
-        return state, 0
+        discard(wishes)
+        return linked, loose, 0
     # Capacity: a shard takes as many as it has unlinked rows to give away.
-    taken = ranked(movers, "to", [F.col("gid"), F.col("row")], n, F.col("gid") if n < 20_000 else F.col("row"), name="place").where(F.col("place") < _pick(room, F.col("to"))).select("row", F.col("shard").alias("from"), "to")
-    taken = cut(taken, f"shard-taken{rnd}")
+    placed = ranked(wishes.where("to IS NOT NULL"), "to", [F.col("gid"), F.col("row")], n, F.col("row"), block=1000, name="place")
+    placed = placed.withColumn("new", F.when(F.col("place") < _pick(room, F.col("to")), F.col("to")).otherwise(F.col("shard")))
+    moved = cut(placed.select("row", "gid", "members", F.col("shard").alias("from"), F.col("new").alias("shard")), f"shard-moved{rnd}")
     change = [0] * shards
-    for r in taken.groupBy("from", "to").count().collect():  # at most shards * shards rows
+    for r in moved.where("from <> shard").groupBy("from", "shard").count().collect():  # at most shards * shards rows
         change[r["from"]] -= r["count"]
-        change[r["to"]] += r["count"]
+        change[r["shard"]] += r["count"]
+    linked = cut(moved.drop("from").unionByName(wishes.where("to IS NULL").drop("to")), f"shard-linked{rnd}")
     # Unlinked rows of shards that gained fill the gaps of those that lost, in order of shard.
     before, gaps, at, hole = [], [], 0, 0
     for k in range(shards):
@@ -53,15 +56,14 @@ def _propagate(state: DataFrame, shards: int, rows: int, rnd: int) -> tuple[Data
         at += max(0, change[k])
         hole += max(0, -change[k])
         gaps.append(hole)
-    loose = state.where("linked = 0").where(_pick(change, F.col("shard")) > 0).select("row", "shard")
-    loose = ranked(loose, "shard", [F.col("row")], max(1, sum(room)), F.col("row"), name="place").where(F.col("place") < _pick(change, F.col("shard")))
+    gained = _pick(change, F.col("shard")) > 0
+    seats = ranked(loose.where(gained), "shard", [F.col("row")], max(1, sum(x for x, c in zip(room, change, strict=True) if c > 0)), F.col("row"), name="place")
     hole_no = F.col("place") + _pick(before, F.col("shard"))
     to = F.aggregate(F.array(*[F.lit(int(g)) for g in gaps]), F.lit(0), lambda a, g: a + (g <= hole_no).cast("int"))
-    moved = taken.select("row", F.col("to").alias("new")).unionByName(loose.select("row", to.cast("int").alias("new")))
-    new = state.join(moved, "row", "left").withColumn("shard", F.coalesce("new", "shard")).drop("new")
-    new = cut(new, f"shard-state{rnd}")
-    discard(movers, taken)
-    return new, n
+    seats = seats.select("row", F.when(F.col("place") < _pick(change, F.col("shard")), to).otherwise(F.col("shard")).cast("int").alias("shard"))
+    loose = cut(seats.unionByName(loose.where(~gained)), f"shard-loose{rnd}")
+    discard(wishes, moved)
+    return linked, loose, n
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,16 +91,18 @@ def assign_shards(docs: DataFrame, shards: int = 40, rounds: int = 6, id_col: st
     rows = small.count()
     groups = small.where("gid IS NOT NULL").groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     groups = cut(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), "shard-groups")
-    linked = small.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(16)).cast("int")).join(groups, ["gid", "salt"], "left").select("row", "gid", F.coalesce("members", F.lit(1)).alias("members"), F.col("members").isNotNull().cast("int").alias("linked"))
+    linked = small.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(16)).cast("int")).join(groups.hint("merge"), ["gid", "salt"], "left").select("row", "gid", F.coalesce("members", F.lit(1)).alias("members"), F.col("members").isNotNull().cast("int").alias("linked"))
     # Even to a row: the rank in an order by hash, dealt out in turn.
     first = ranked(linked.withColumn("_all", F.lit(0)), "_all", [F.xxhash64("row"), F.col("row")], rows, F.col("row"), name="_rank")
     state = cut(first.select("row", "gid", "members", "linked", F.pmod(F.col("_rank"), F.lit(shards)).cast("int").alias("shard")), "shard-state")
+    linked, loose = state.where("linked = 1").drop("linked"), state.where("linked = 0").select("row", "shard")
     for rnd in range(rounds):
-        old = state
-        state, moved = _propagate(state, shards, rows, rnd)
+        old = linked, loose
+        linked, loose, moved = _propagate(linked, loose, shards, rnd)
         if not moved:
             break
-        discard(old)
-    placed = ranked(state.select("row", "gid", "shard"), "shard", [F.col("gid"), F.col("row")], rows, F.col("row"), name="slot")
+        discard(*old)
+    both = linked.select("row", "gid", "shard").unionByName(loose.withColumn("gid", F.lit(None).cast("binary")))
+    placed = ranked(both, "shard", [F.col("gid"), F.col("row")], rows, F.col("row"), name="slot").drop("gid")
     out = small.drop("gid").join(placed, "row")
     return out.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
