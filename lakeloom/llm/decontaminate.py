@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -158,6 +159,33 @@ def _search(index, threshold: float):
     return run
 
 
+def _blocks(benchmark: DataFrame, k: int, item_col: str, item_text_col: str):
+    """The items as broadcast indexes of about ITEMS items and ITEM_BYTES bytes, however many there are."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS), -(-size // ITEM_BYTES))
+    for b in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).distinct().toPandas()
+        yield benchmark.sparkSession.sparkContext.broadcast(ItemIndex(own["item"].tolist(), own["text"].tolist(), k))
+
+
+def _without(index, text_col: str, threshold: float):
+    def run(batches):
+        for batch in batches:
+            for part in steps(batch, text_col):
+                found = index.value.find(*text_bytes(part.column(text_col)), threshold)
+                yield part.filter(pa.array([not f for f in found]))
+
+    return run
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents that hold no benchmark item, as find_leaks() sees it, with all of their columns."""
+    for index in _blocks(benchmark, k, item_col, item_text_col):
+        docs = docs.mapInArrow(_without(index, text_col, threshold), docs.schema)
+    return docs
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Which benchmark items each document holds: id_col, text_hash, item_ids, best_item, similarity, contaminated.
 
@@ -173,21 +201,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
     fingerprinted. Items go to the executors in blocks of a fixed size, one pass over the documents
     for each block; documents aren't shuffled unless there are several.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-n // ITEMS), -(-size // ITEM_BYTES))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["_id"]
     schema = f"_id {kind}, text_hash long, _row long, item_ids array<long>, best_item long, similarity double"
-    out = None
-    for b in range(blocks):
-        # A block has about ITEMS items and ITEM_BYTES bytes, however long the benchmark is.
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).distinct().toPandas()
-        index = spark.sparkContext.broadcast(ItemIndex(own["item"].tolist(), own["text"].tolist(), k))
-        part = rows.mapInArrow(_search(index, threshold), schema)
-        out = part if out is None else out.unionByName(part)
-    if blocks > 1:
+    parts = [rows.mapInArrow(_search(index, threshold), schema) for index in _blocks(benchmark, k, item_col, item_text_col)]
+    out = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
         best = F.min(F.struct((-F.col("similarity")).alias("s"), F.coalesce("best_item", F.lit(2**63 - 1)).alias("i"), "best_item"))
         out = out.groupBy("_row").agg(F.first("_id").alias("_id"), F.first("text_hash").alias("text_hash"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), best.alias("b"))
         out = out.select("*", F.col("b.best_item").alias("best_item"), (-F.col("b.s")).alias("similarity"))

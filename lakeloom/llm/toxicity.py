@@ -233,24 +233,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
     return ToxicityModel(lexicons[2], trees, fit_isotonic(trees.margin(x[rest]), y[rest]))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """Toxicity of every document: id_col, held_out, score, predicted, and the columns of `keep`.
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Toxicity of every document: id_col, held_out, score, predicted.
 
     Only features of whole texts go in: densities of insults (given ones and words and stems learned
     from labels outside the held-out fold), how many stand near a second person, capitals, punctuation
     and obfuscation. Null and empty texts have all features 0 and get that score; a null id counts as
     the empty text for the fold and has no label. Where the labels don't show both classes, the score
     is the share of given insults among the words, 20 times. Every row gives one row, repeated ones
-    too; columns outside of `keep` are dropped.
+    too; other columns are dropped.
     """
     spark = docs.sparkSession
     model = fit_toxicity(docs, labels, folds, held, id_col=id_col, text_col=text_col, **options)
-    rows = docs.select(F.col(id_col).alias("_id"), fold(id_col, folds).alias("_fold"), *[F.col(c).alias(f"keep_{c}") for c in keep], F.col(text_col).alias("text"))
-    names = ("_id", "_fold", *[f"keep_{c}" for c in keep])
-    kinds = dict(rows.dtypes)
+    rows = docs.select(F.col(id_col).alias("_id"), fold(id_col, folds).alias("_fold"), F.col(text_col).alias("text"))
     shared = spark.sparkContext.broadcast(model or _Plain())
-    scored = rows.mapInArrow(_scores(shared, names), ", ".join(f"{c} {kinds[c]}" for c in names) + ", score double")
-    return scored.select(F.col("_id").alias(id_col), (F.col("_fold") == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    scored = rows.mapInArrow(_scores(shared, ("_id", "_fold")), f"_id {dict(rows.dtypes)['_id']}, _fold long, score double")
+    return scored.select(F.col("_id").alias(id_col), (F.col("_fold") == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text", **options) -> DataFrame:
+    """The documents whose toxicity is below the threshold, with all of their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, text_col=text_col, **options) or _Plain())
+
+    def run(batches):
+        own = model.value
+        for batch in batches:
+            for part in steps(batch, text_col):
+                yield part.filter(pa.array(own.score(matrix(own.lexicon, part.column(text_col))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 class _Plain:
