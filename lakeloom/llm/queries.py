@@ -42,6 +42,12 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), k=10)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.quality import score_quality
 
@@ -74,7 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op3_shards": op3_shards, "op5_quality": op5_quality, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
+    return {"op1_url_filter": op1_url_filter, "op3_shards": op3_shards, "op4_nearest": op4_nearest, "op5_quality": op5_quality, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
