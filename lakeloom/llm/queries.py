@@ -36,6 +36,21 @@ SELECT page_id, host, path, rule,
        word_rule FROM b"""
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.warc import write_and_read
+
+    return write_and_read(table(spark, sf_dir, "pages")).drop("file")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM m"""
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.sharding import assign_shards
 
@@ -80,8 +95,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op3_shards": op3_shards, "op4_nearest": op4_nearest, "op5_quality": op5_quality, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
+    return {"op1_url_filter": op1_url_filter, "op2_warc": op2_warc, "op3_shards": op3_shards, "op4_nearest": op4_nearest, "op5_quality": op5_quality, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": _op1_sql()}
+    return {"op1_url_filter": _op1_sql(), "op2_warc": OP2_SQL}
