@@ -76,6 +76,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.suffix import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"), length=50)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.minhash import near_duplicates
 
@@ -95,7 +101,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_url_filter": op1_url_filter, "op2_warc": op2_warc, "op3_shards": op3_shards, "op4_nearest": op4_nearest, "op5_quality": op5_quality, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
+    return {"op1_url_filter": op1_url_filter, "op2_warc": op2_warc, "op3_shards": op3_shards, "op4_nearest": op4_nearest, "op5_quality": op5_quality, "op6_mix_sources": op6_mix_sources, "op7_repeated_passages": op7_repeated_passages, "op8_near_duplicates": op8_near_duplicates, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
