@@ -116,17 +116,16 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
     Each round lowers a node's label to the least of its neighbours' and then follows the label
     once, so long chains shrink by halves. Labels live in tables in the shared folder; the driver
-    only reads the number of labels that changed.
+    only reads whether one changed.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), f"{name}-0")
     for k in range(1, 200):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         low = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("low"))
-        low = cut(low, f"{name}-low{k}")
         up = low.select(F.col("node").alias("_up"), F.col("low").alias("_to"))
-        new = cut(low.join(up, low.low == up._up, "left").select("node", F.coalesce("_to", "low").alias("new"), "component"), f"{name}-{k}")
-        discard(low, labels)
+        new = cut(low.join(up, low.low == up._up).select("node", F.col("_to").alias("new"), "component"), f"{name}-{k}")
+        discard(labels)
         changed = new.where("new <> component").limit(1).count()
         labels = new.select("node", F.col("new").alias("component"))
         labels._lakeloom_path = new._lakeloom_path

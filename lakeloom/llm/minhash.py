@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import BROADCAST_ROWS, components, cut, discard, spread_join
@@ -22,6 +21,8 @@ AGREE = 0.76
 SAME = 0.95
 #: Bytes of text that are worked on at a time, and rows of a block of sets compared at once.
 STEP_BYTES, BLOCK = 1 << 21, 512
+#: Members that stand for a part of a large group.
+HEADS = 8
 
 _FACTORS = mix(np.arange(1, PERMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SKETCH_WORDS = -(-2 * PERMS // 64)
@@ -105,19 +106,21 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - differ / (2 * PERMS)
 
 
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what a symmetric boolean matrix connects: one less than a component has members."""
+def _stars(near: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
+    """What a symmetric boolean matrix connects, as pairs of each component's smallest node and another."""
     left, edges = np.ones(len(near), bool), []
     for s in range(len(near)):
         if not left[s]:
             continue
-        left[s], todo = False, [s]
+        left[s], todo, own = False, [s], [s]
         while todo:
-            u = todo.pop()
-            new = np.flatnonzero(near[u] & left)
+            new = np.flatnonzero(near[todo.pop()] & left)
             left[new] = False
-            edges += [(u, v) for v in new.tolist()]
+            own += new.tolist()
             todo += new.tolist()
+        if len(own) > 1:
+            members = np.unique(node[own])
+            edges += [(int(members[0]), x) for x in members[1:].tolist()]
     return edges
 
 
@@ -130,28 +133,35 @@ def _band_edges(threshold: float):
         return (_agreement(s, t) >= floor) & sizes
 
     def bucket(node, n, s, out) -> np.ndarray:
-        """Adds pairs of one band to out; the places of the members that later ones must meet."""
-        leaders = np.zeros(0, np.int64)
+        """Adds pairs of one band to out, from the smallest node of all that are connected to each other
+        one; the places of the members that later ones must meet."""
+        leaders, part = np.zeros(0, np.int64), np.arange(len(node))
         for at in range(0, len(node), BLOCK):
             own = np.arange(at, min(at + BLOCK, len(node)))
-            near = close(n[own], s[own], n[own], s[own], AGREE)
-            out += [(node[at + i], node[at + j]) for i, j in _forest(near)]
+            for i, j in _stars(close(n[own], s[own], n[own], s[own], AGREE), own):
+                part[j] = i
             behind = np.zeros(len(own), bool)
             for to in range(0, len(leaders), BLOCK):
                 lead = leaders[to : to + BLOCK]
                 agree = np.where(close(n[own], s[own], n[lead], s[lead], AGREE), _agreement(s[own], s[lead]), 0)
                 i, j = np.nonzero(agree)
-                if len(i):  # one edge from each component of the block to each leader is enough, but all are right
-                    keep = np.unique(i, return_index=True)[1]
-                    out += list(zip(node[own[i[keep]]], node[lead[j[keep]]], strict=True))
-                    keep = np.unique(j, return_index=True)[1]
-                    out += list(zip(node[own[i[keep]]], node[lead[j[keep]]], strict=True))
+                while len(i):
+                    x, y = part[own[i]], part[lead[j]]
+                    apart = x != y
+                    i, j = i[apart], j[apart]
+                    if len(i):
+                        part[part == x[apart][0]] = y[apart][0]
                 behind |= (agree >= SAME).any(axis=1)
             same = np.triu(close(n[own], s[own], n[own], s[own], SAME), 1)
             for i in range(len(own)):
                 if not behind[i]:
                     behind |= same[i]
             leaders = np.concatenate([leaders, own[~behind]])
+        order = np.lexsort((node, part))
+        first = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
+        root = np.repeat(node[order][first], np.diff(np.concatenate([first, [len(order)]])))
+        keep = root != node[order]
+        out += list(zip(root[keep], node[order][keep], strict=True))
         return leaders
 
     def run(batches):
@@ -226,36 +236,38 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def _exact_edges(k: int, threshold: float):
-    """Rows (grp, side, node, set, text), sorted by grp, to the links inside each group; where a group has
-    two sides, to those between them. A group has at most two blocks of rows."""
+    """Rows (grp, side, part, node, set, text), sorted by grp, to what links inside each group connect: the
+    smallest part and another. Nodes of one part are connected as it is. Where a group has two sides,
+    only links between them are looked for. A group has a few blocks of rows at most."""
 
-    def links(node, side, sets):
-        near = similar(sets, threshold)
+    def links(part, side, sets):
+        near, part = similar(sets, threshold), np.array(part, np.int64)
         if len(set(side)) > 1:
             s = np.array(side)
             near &= s[:, None] != s[None, :]
-        return [(node[i], node[j]) for i, j in _forest(near)]
+        return _stars(near | (part[:, None] == part[None, :]), part)
 
     def run(batches):
-        grp, node, side, sets = None, [], [], []
+        grp, seen, part_of, side, sets = None, set(), [], [], []
         out: list = []
         for batch in batches:
             for part in steps(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
                 found = shingle_sets(words_of(data, offsets), k)
-                for g, sd, no, want, s in zip(part.column("grp").to_pylist(), part.column("side").to_pylist(), part.column("node").to_pylist(), part.column("set").to_pylist(), found, strict=True):
+                names = ("grp", "side", "part", "node", "set")
+                for g, sd, p, no, want, s in zip(*[part.column(c).to_pylist() for c in names], found, strict=True):
                     if g != grp:
                         if len(sets) > 1:
-                            out += links(node, side, sets)
-                        grp, node, side, sets = g, [], [], []
+                            out += links(part_of, side, sets)
+                        grp, seen, part_of, side, sets = g, set(), [], [], []
                     # A row with the same id and text hash but another text isn't the one that is meant.
-                    if np.array([len(s), int(s.sum()), int(mix(s).sum())], np.uint64).tobytes() == want and not (no in node and (no, sd) in zip(node, side, strict=True)):
-                        node.append(no), side.append(sd), sets.append(s)
+                    if (sd, no) not in seen and np.array([len(s), int(s.sum()), int(mix(s).sum())], np.uint64).tobytes() == want:
+                        seen.add((sd, no)), part_of.append(p), side.append(sd), sets.append(s)
             if len(out) > 10_000:
                 yield table_of(out)
                 out = []
         if len(sets) > 1:
-            out += links(node, side, sets)
+            out += links(part_of, side, sets)
         yield table_of(out)
 
     def table_of(out):
@@ -265,58 +277,59 @@ def _exact_edges(k: int, threshold: float):
     return run
 
 
-def _exact(rows: DataFrame, texts: DataFrame, k: int, threshold: float, name: str) -> DataFrame:
-    """The links of rows (grp, side, node, key, text_hash, set), whose texts are looked up."""
-    full = texts.join(rows, ["key", "text_hash"]).select("grp", "side", "node", "set", "text")
-    parts = full.repartition("grp").sortWithinPartitions("grp", "side", "node")
+def _exact(rows: DataFrame, k: int, threshold: float, name: str) -> DataFrame:
+    """What the links of rows (grp, side, part, node, set, text) connect: (a, b), a the smallest part."""
+    parts = rows.select("grp", "side", "part", "node", "set", "text").repartition("grp").sortWithinPartitions("grp", "side", "node")
     return cut(parts.mapInArrow(_exact_edges(k, threshold), "a long, b long"), name)
 
 
 def _verified(nodes: DataFrame, coarse: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The exact links (a, b) inside the coarse groups, as many as connect what is connected.
+    """(node, part) of the nodes in coarse groups: the smallest node that exact links reach.
 
-    Groups of up to BLOCK sets are compared whole. A larger one is cut into blocks; the blocks'
-    components send one member each to the next level, until they fit one block. If a group still
-    has several components, every member outside of its largest one is held against all members.
+    Groups of up to BLOCK sets are compared whole. A larger one is cut into blocks; what a block connects
+    is a part, and HEADS members of each go to the next level, as long as that joins many. If a group
+    still has several parts, all members outside of its largest one are held against all members.
+    Texts are fetched once.
     """
-    members = coarse.join(coarse.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component")
-    members = cut(members.join(nodes.select("node", "key", "text_hash", "set"), "node"), "minhash-members")
-    small = members.where(F.col("m") <= BLOCK).select(F.col("component").cast("string").alias("grp"), F.lit(0).alias("side"), "node", "key", "text_hash", "set")
-    links = [_exact(small, texts, k, threshold, "minhash-links")]
-    big = members.where(F.col("m") > BLOCK)
+    members = coarse.join(coarse.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component").join(nodes.select("node", "key", "text_hash", "set"), "node")
+    full = cut(texts.join(members, ["key", "text_hash"]).select("component", "m", "node", "set", "text"), "minhash-texts")
+    one = {"side": F.lit(0), "part": F.col("node")}
+    roots = _exact(full.where(F.col("m") <= BLOCK).withColumns({"grp": F.col("component").cast("string"), **one}), k, threshold, "minhash-links")
+    parts = roots.select(F.col("b").alias("node"), F.col("a").alias("part"))
+    big = full.where(F.col("m") > BLOCK)
     if not big.limit(1).count():
-        return links[0]
-    level, now = 0, big
+        return parts
+    state = big.select("component", "node", F.col("node").alias("part")).distinct()
+    level, now = 0, big.withColumns(one)
     while True:
         blocks = F.ceil(F.col("m") / BLOCK)
-        grp = F.concat_ws("/", "component", F.pmod(F.xxhash64("node", F.lit(level)), blocks))
-        links.append(_exact(now.select(grp.alias("grp"), F.lit(0).alias("side"), "node", "key", "text_hash", "set"), texts, k, threshold, f"minhash-links{level}"))
-        joined = components(reduce(DataFrame.union, links[1:]), "minhash-exact").withColumnRenamed("component", "part")
-        state = cut(big.join(joined, "node", "left").withColumn("part", F.coalesce("part", "node")), "minhash-parts")
+        up = _exact(now.withColumn("grp", F.concat_ws("/", "component", F.pmod(F.xxhash64("part", F.lit(level)), blocks))), k, threshold, f"minhash-level{level}")
+        joined, before = up.count(), state.select("part").distinct().count()
+        state = cut(state.join(up, state.part == up.b, "left").select("component", "node", F.coalesce("a", "part").alias("part")), f"minhash-state{level}")
         level += 1
-        if not now.where(F.col("m") > BLOCK).limit(1).count():
-            break
-        heads = state.where("node = part").drop("m", "part")
-        before = now.count()
-        now = cut(heads.join(heads.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component"), "minhash-heads")
-        if now.count() >= before:  # nothing joined: the rest is compared below
+        if joined * 10 < before:
             break
+        nth = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("node")))
+        heads = state.withColumn("_nth", nth).where(F.col("_nth") <= HEADS).drop("_nth")
+        heads = heads.join(heads.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component")
+        now = big.drop("component", "m").join(heads, "node").withColumn("side", F.lit(0))
     sizes = state.groupBy("component", "part").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("component").agg(F.max(F.struct("c", "part")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("m")).where("parts > 1")
+    main = main.select("component", F.col("top.part").alias("main"), F.ceil(F.col("m") / BLOCK).alias("blocks"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).alias("outs"))
     if main.limit(1).count():
-        main = main.select("component", F.col("top.part").alias("main"), F.ceil(F.col("m") / BLOCK).alias("blocks"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).alias("outs"))
-        rows = state.drop("m").join(main, "component").withColumn("b", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("blocks"))).withColumn("o", F.pmod(F.xxhash64("node", F.lit(-2)), F.col("outs")))
-        name = lambda o, b: F.concat_ws("/", "component", o, b)
+        rows = state.join(main, "component").withColumn("b", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("blocks"))).withColumn("o", F.pmod(F.xxhash64("node", F.lit(-2)), F.col("outs")))
+        name = lambda o, b: F.concat_ws("/", "component", o, b).alias("grp")
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        cols = ["node", "key", "text_hash", "set"]
-        right = rows.withColumn("oo", every("outs")).select(name("oo", "b").alias("grp"), F.lit(1).alias("side"), *cols)
-        left = rows.where("part <> main").withColumn("bb", every("blocks")).select(name("o", "bb").alias("grp"), F.lit(0).alias("side"), *cols)
-        links.append(_exact(left.union(right), texts, k, threshold, "minhash-cross"))
-    return reduce(DataFrame.union, links)
+        right = rows.withColumn("oo", every("outs")).select(name("oo", "b"), F.lit(1).alias("side"), "part", "node")
+        left = rows.where("part <> main").withColumn("bb", every("blocks")).select(name("o", "bb"), F.lit(0).alias("side"), "part", "node")
+        cross = _exact(left.union(right).join(big.select("node", "set", "text"), "node"), k, threshold, "minhash-cross")
+        joined = components(cross, "minhash-exact").toDF("_part", "_to")
+        state = state.join(joined, state.part == joined._part, "left").select("node", F.coalesce("_to", "part").alias("part"))
+    return parts.union(state.select("node", "part"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The group of every document: id_col, key, text_hash, n_shingles, component_id, kept.
+    """The group of every document: id_col, key, text_hash, n_shingles, component_id, kept, group.
 
     Words are maximal runs of anything but space and \\x09-\\x0D, A-Z lower-cased; a document is the set of
     its k-word shingles, or its whole sequence if it has fewer words. Two documents are linked if the
@@ -341,13 +354,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     banded = nodes.select(F.explode("bands").alias("band"), "node", "n", "sketch").repartition("band").sortWithinPartitions("band", "n", "node")
     pairs = cut(banded.mapInArrow(_band_edges(threshold), "a long, b long").distinct(), "minhash-pairs")
     coarse = components(pairs, "minhash-coarse")
-    links = _verified(nodes, coarse, rows.select("key", "text_hash", "text"), k, threshold)
-    groups = components(links, "minhash-groups")
-    joined = nodes.select("node", "set", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = _verified(nodes, coarse, rows.select("key", "text_hash", "text"), k, threshold)
+    joined = nodes.select("node", "set", "least").join(groups, "node", "left").withColumn("component", F.coalesce("part", "node"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(joined.join(least, "component").select("set", "component_id"), "minhash-named")
+    named = cut(joined.join(least, "component").select("set", "component_id", F.col("component").alias("group")), "minhash-named")
     discard(pairs)
     plain = hashed.select("doc", "key", "text_hash", "n", "set")
     out = spread_join(plain.where("set IS NOT NULL"), named, "set", F.struct("key", "text_hash"), n_nodes if n_nodes <= BROADCAST_ROWS // 10 else BROADCAST_ROWS + 1, salts=16)
-    out = out.select("doc", "key", "text_hash", "n", "component_id").unionByName(plain.where("set IS NULL").select("doc", "key", "text_hash", "n", F.col("doc").alias("component_id")))
-    return out.select(F.col("doc").alias(id_col), "key", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = out.select("doc", "key", "text_hash", "n", "component_id", "group").unionByName(plain.where("set IS NULL").select("doc", "key", "text_hash", "n", F.col("doc").alias("component_id"), F.lit(None).cast("long").alias("group")))
+    return out.select(F.col("doc").alias(id_col), "key", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"), "group")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, one of each group: that with the smallest id (null last) and, of several rows with
+    it, one. Documents without words all stay. All columns stay as they are."""
+    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("n_shingles > 0"), "minhash-found")
+    best = found.where("kept").groupBy("group").agg(F.min(F.struct("key", "text_hash")).alias("w")).select("w.key", "w.text_hash")
+    gone = found.select("key", "text_hash").join(best, ["key", "text_hash"], "left_anti").distinct()
+    again = found.groupBy("key", "text_hash").count().where("count > 1").limit(1).count()
+    rows = docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_hash": F.xxhash64(text_col)})
+    rows = rows.join(gone.toDF("_key", "_hash"), ["_key", "_hash"], "left_anti")
+    if again:  # the same row several times
+        blank = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+        nth = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy(F.lit(0)))
+        rows = rows.withColumn("_nth", nth).where(blank | (F.col("_nth") == 1))
+    return rows.select(*docs.columns)
