@@ -13,7 +13,7 @@ from lakeloom.llm.common import cut
 from lakeloom.llm.words import mix
 
 #: Bytes of the k-grams that anchors are chosen among, and zero bytes between two texts.
-GRAM, GAP = 20, 96
+GRAM, GAP = 16, 128
 #: Bytes of text in a chunk, anchors in a bucket, contexts in a bucket, bytes in one transform.
 CHUNK_BYTES, BUCKET_ANCHORS, BUCKET_CONTEXTS, STEP = 4 << 20, 2_000_000, 50_000, 1 << 18
 _NONE = np.uint64(2**64 - 1)
@@ -52,7 +52,10 @@ class Texts:
         self.end = self.start + sizes
         gap = b"\0" * GAP
         self.buf = np.frombuffer(gap + gap.join(texts) + gap * 2, np.uint8)
-        places, prints, contexts = [], [], []
+        places, prints, contexts, sides = [], [], [], []
+        # A string has at least half of its bytes outside of the k-gram on one side of it.
+        half = self.left // 2
+        steps = sorted({*range(0, half - 7, 8), half - 8})
         edge = np.zeros(len(self.buf) + 1, np.int32)
         long = sizes >= length
         np.add.at(edge, self.start[long], 1)
@@ -75,7 +78,14 @@ class Texts:
             context = np.zeros(len(at), np.uint64)
             for off in range(-self.left, length, 8):
                 context = mix(context * np.uint64(0x165667B19E3779F9) + eight[np.minimum(at + off, len(eight) - 1)])
-            places.append(at + lo), prints.append(h[at]), contexts.append(context)
+            side = []
+            for a0 in (-half, GRAM):
+                x = np.zeros(len(at), np.uint64)
+                for off in steps:
+                    x = mix(x + eight[np.minimum(at + a0 + off, len(eight) - 1)])
+                side.append(x >> np.uint64(52))
+            places.append(at + lo), prints.append(h[at]), contexts.append(context), sides.append(side[0] << np.uint64(12) | side[1])
+        self.sides = np.concatenate(sides) if sides else np.zeros(0, np.uint64)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.place, self.print, context = cat(places, np.int64), cat(prints, np.uint64), cat(contexts, np.uint64)
         self.owner = np.searchsorted(self.start, self.place, "right") - 1
@@ -144,28 +154,42 @@ def _anchors(length: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         texts = _texts(table, length)
         texts.classes(buckets)
-        rows = [(b, _columns((texts.print[texts.first[i:j]] >> np.uint64(16)), texts.context[texts.first[i:j]] >> np.uint64(24), texts.least[i:j])) for b, (i, j) in enumerate(zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist(), strict=True)) if i < j]
+        rows = [(b, _columns(texts.print[texts.first[i:j]] >> np.uint64(24), texts.context[texts.first[i:j]] >> np.uint64(24), texts.sides[texts.first[i:j]], texts.least[i:j])) for b, (i, j) in enumerate(zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist(), strict=True)) if i < j]
         chunk = table.column("chunk")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
     return run
 
 
+def _alone(gram: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """True where no other entry of the k-gram has the same side."""
+    order = np.lexsort((side, gram))
+    g, x = gram[order], side[order]
+    same = (g[1:] == g[:-1]) & (x[1:] == x[:-1])
+    out = np.empty(len(order), bool)
+    out[order] = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    return out
+
+
 def _meet(table: pa.Table) -> pa.Table:
     """A bucket's classes to those whose k-gram has several, a row for each chunk: place, whether
-    contexts differ, smallest doc."""
-    chunks, parts = table.column("chunk").to_pylist(), [_read_columns(b, 3) for b in table.column("blob").to_pylist()]
-    gram, context, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    contexts differ, smallest doc. Classes with which no other agrees on either side meet nobody."""
+    chunks, parts = table.column("chunk").to_pylist(), [_read_columns(b, 4) for b in table.column("blob").to_pylist()]
+    gram, context, sides, doc = (np.concatenate([p[i] for p in parts]) for i in range(4))
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     place = np.concatenate([np.arange(len(p[0])) for p in parts])
     order = np.argsort(gram, kind="stable")
+    g = gram[order]
+    same = g[1:] == g[:-1]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    order = order[~(_alone(gram[order], sides[order] >> 12) & _alone(gram[order], sides[order] & 4095))]
     gram, context, doc, owner, place = (x[order] for x in (gram, context, doc, owner, place))
+    if not len(gram):
+        return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
     first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     size = np.diff(np.concatenate([first, [len(gram)]]))
-    differ = np.minimum.reduceat(context, first) != np.maximum.reduceat(context, first)
-    least = np.minimum.reduceat(doc, first)
-    many = np.repeat(size > 1, size)
-    owner, place, differ, least = owner[many], place[many], np.repeat(differ, size)[many], np.repeat(least, size)[many]
+    differ = np.repeat(np.minimum.reduceat(context, first) != np.maximum.reduceat(context, first), size)
+    least = np.repeat(np.minimum.reduceat(doc, first), size)
     order = np.lexsort((place, owner))
     owner, place, differ, least = owner[order], place[order], differ[order], least[order]
     bounds = np.searchsorted(owner, np.arange(len(parts) + 1))
@@ -414,7 +438,7 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     """What each document keeps when passages that an earlier one has are cut: id_col, n_bytes, n_removed,
     n_spans, kept_sha256.
 
-    A byte goes if a string of `length` bytes (30 to 120) that covers it also starts in a document with a
+    A byte goes if a string of `length` bytes (40 to 120) that covers it also starts in a document with a
     smaller id; matches are judged on the input and never cross documents. Texts are UTF-8 bytes; null and
     empty ones have none. Null ids count as smaller than all others; rows with equal ids, so repeated
     rows too, take nothing from each other. Every row gives one row; other columns are dropped.
@@ -427,13 +451,13 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
        interval's smallest id settles its windows.
     4. Chunks cut the bytes that smaller ids have.
     """
-    if not GRAM + 10 <= length <= 120:
-        raise ValueError("length must be between 30 and 120")
+    if not 40 <= length <= 120:
+        raise ValueError("length must be between 40 and 120")
     null = -(2**63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("doc"), F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, total // CHUNK_BYTES)
-    buckets = max(1, total // 14 // BUCKET_ANCHORS)
+    buckets = max(1, total // 16 // BUCKET_ANCHORS)
     context_buckets = max(1, total // 200 // BUCKET_CONTEXTS)
     base = rows.withColumn("chunk", F.pmod(F.xxhash64("doc", F.octet_length("text")), F.lit(chunks)))
     prints = base.groupBy("chunk").applyInArrow(_anchors(length, buckets), "bucket long, chunk long, blob binary")
