@@ -3,6 +3,8 @@ key need no exchange."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.catalog import Catalog
@@ -11,12 +13,18 @@ from lakeloom.catalog import Catalog
 DEFAULT_INDEX = {"lineitem": "orderkey", "orders": "custkey", "nation": "name", "customer": "mktsegment"}
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A folder in the warehouse that no other session writes to."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def save_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, sort: list[str] | None = None) -> DataFrame:
     """Store df as a table bucketed by keys and sorted inside the buckets. Rows are kept as they are,
-    repeated keys too. Each bucket is written by one task."""
+    repeated keys too. Each bucket is written by one task, to a folder of its own for each call."""
     spark = df.sparkSession
-    ranged = df.repartition(buckets, *keys)
-    ranged.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*(sort or keys)).format("parquet").saveAsTable(table)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*(sort or keys)).format("parquet")
+    writer.option("path", fresh_path(spark, table)).saveAsTable(table)
     return spark.table(table)
 
 

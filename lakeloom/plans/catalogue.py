@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import date_literal
-from lakeloom.layout import load_sorted, save_bucketed
+from lakeloom.layout import fresh_path, load_sorted, save_bucketed
 from lakeloom.operators import (
     Agg,
     cross,
@@ -370,8 +370,7 @@ def tpch_q5_like(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= DATE '1997-06-01' AND o_orderdate < DATE '1997-07-01'")
 def sorted_layout_scan(t: Tables) -> DataFrame:
-    path = f"{t._spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sorted_orders"
-    stored = load_sorted(project(t.orders, "o_orderkey", "o_orderdate"), path, "o_orderdate")
+    stored = load_sorted(project(t.orders, "o_orderkey", "o_orderdate"), fresh_path(t._spark, "sorted_orders"), "o_orderdate")
     return range_filter(stored, "o_orderdate", date_literal("1997-06-01"), date_literal("1997-07-01"))
 
 
