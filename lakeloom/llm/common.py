@@ -60,6 +60,18 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def literal_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A small table of constants that never passes through Python on an executor."""
     from pyspark.sql.types import _parse_datatype_string

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import BROADCAST_ROWS, components, cut, discard, spread_join
+from lakeloom.llm.common import BROADCAST_ROWS, components, cut, discard, free_names, spread_join
 from lakeloom.llm.words import mix, shingle_sets, text_bytes, words_of
 
 #: Permutations; each gives a minimum and a maximum. 2 * PERMS = BANDS * ROWS.
@@ -372,10 +372,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     best = found.where("kept").groupBy("group").agg(F.min(F.struct("key", "text_hash")).alias("w")).select("w.key", "w.text_hash")
     gone = found.select("key", "text_hash").join(best, ["key", "text_hash"], "left_anti").distinct()
     again = found.groupBy("key", "text_hash").count().where("count > 1").limit(1).count()
-    rows = docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_hash": F.xxhash64(text_col)})
-    rows = rows.join(gone.toDF("_key", "_hash"), ["_key", "_hash"], "left_anti")
+    key, text_hash, number = free_names(docs, "_key", "_hash", "_nth")
+    rows = docs.withColumns({key: F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_hash: F.xxhash64(text_col)})
+    rows = rows.join(gone.toDF(key, text_hash), [key, text_hash], "left_anti")
     if again:  # the same row several times
         blank = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-        nth = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy(F.lit(0)))
-        rows = rows.withColumn("_nth", nth).where(blank | (F.col("_nth") == 1))
+        nth = F.row_number().over(Window.partitionBy(key, text_hash).orderBy(F.lit(0)))
+        rows = rows.withColumn(number, nth).where(blank | (F.col(number) == 1))
     return rows.select(*docs.columns)

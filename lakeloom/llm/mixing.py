@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, discard, spread_join, uniform
+from lakeloom.llm.common import cut, discard, free_names, spread_join, uniform
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A probability this near to 0 or 1 counts as integral.
@@ -144,7 +144,7 @@ def round_copies(items: DataFrame, block: int = 32, keep: int = 24, seed: int =
     return reduce(DataFrame.unionByName, [*done, root.select(F.inline("done"))])
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, sized: DataFrame | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """How many copies of each document a mix takes: id_col, occ, source, size, source_size,
     target, rate, copies.
 
@@ -155,8 +155,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
     id and occ is drawn from, so reruns agree. An empty table gives an empty result; other columns
     are dropped.
     """
-    sized = sized if sized is not None else sized_rows(docs, id_col, text_col, source_col)
-    rows = cut(sized, "mix-rows")
+    rows = cut(sized_rows(docs, id_col, text_col, source_col), "mix-rows")
     targets = source_targets(rows, weights, cap, budget)
     n_sources = targets.count()
     rated = spread_join(rows.withColumn("_src", F.concat(F.lit("="), "source")).fillna({"_src": ""}), targets.withColumn("_src", F.concat(F.lit("="), "source")).fillna({"_src": ""}).drop("source"), "_src", F.struct("key", "occ"), n_sources, "inner")
@@ -186,8 +185,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts move once, by id, to meet their numbers of copies; see mix_sources() for odd rows.
     """
     taken = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = taken.where("copies > 0").select(F.col("key").alias("_key"), F.struct("occ", "copies").alias("_c")).groupBy("_key").agg(F.collect_list("_c").alias("_copies"))
-    occ = F.row_number().over(Window.partitionBy("_key").orderBy(F.col(source_col).cast("string"), word_count(F.col(text_col)), F.xxhash64(text_col))) - 1
-    rows = docs.withColumn("_key", id_key(id_col)).withColumn("_occ", occ).join(copies, "_key")
-    n = F.aggregate(F.filter("_copies", lambda x: x.occ == F.col("_occ")), F.lit(0).cast("long"), lambda a, x: a + x["copies"])
-    return rows.withColumn("_n", n).where("_n > 0").withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)
+    key, own, list_of, n, again = free_names(docs, "_key", "_occ", "_copies", "_n", "_again")
+    copies = taken.where("copies > 0").select(F.col("key").alias(key), F.struct("occ", "copies").alias("c")).groupBy(key).agg(F.collect_list("c").alias(list_of))
+    occ = F.row_number().over(Window.partitionBy(key).orderBy(F.col(source_col).cast("string"), word_count(F.col(text_col)), F.xxhash64(text_col))) - 1
+    rows = docs.withColumn(key, id_key(id_col)).withColumn(own, occ).join(copies, key)
+    count = F.aggregate(F.filter(list_of, lambda x: x.occ == F.col(own)), F.lit(0).cast("long"), lambda a, x: a + x["copies"])
+    rows = rows.withColumn(n, count).where(F.col(n) > 0)
+    return rows.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
