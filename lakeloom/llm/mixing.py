@@ -93,28 +93,38 @@ def _fold(rows: Column) -> Column:
     return F.aggregate(rows, start, step)
 
 
-def _root(rows: Column) -> Column:
-    """Round the few items of a source that are left, largest first.
+def _root(rows: Column, base: Column, cap: int) -> Column:
+    """Round the few items of a source that are left, largest first: an array of (id, up).
 
     Each goes up with the chance that the words still wanted have of the words still there, if the
     items after it can make up for either outcome; so what is missed in the end is about the
-    smallest of them. rows: an array of (size, id, p, u), ordered.
+    smallest of them. Where one large item alone keeps the source from its target, further copies
+    of the others are taken (or given up), never more than `cap` of one. rows: an array of
+    (size, id, p, u), ordered; base: the whole copies that each has already.
     """
 
     def step(acc, x):
         rest = acc.room - x.size
         may_up, may_stay = acc.want >= x.size, acc.want <= rest
         up = F.when(may_up & may_stay, x.u * acc.room < acc.want).when(may_up, True).when(may_stay, False).otherwise(acc.want * 2 >= x.size).cast("int")
-        return F.struct((acc.want - up * x.size).alias("want"), rest.alias("room"), F.concat(acc.done, F.array(F.struct(x.id.alias("id"), up.alias("up")))).alias("done"))
+        return F.struct((acc.want - up * x.size).alias("want"), rest.alias("room"), F.concat(acc.done, F.array(F.struct(x.id.alias("id"), x.size.alias("size"), up.alias("up")))).alias("done"))
+
+    def mend(acc, x):
+        more = F.least(F.floor(acc.want / x.size), cap - base - x.up)
+        less = F.least(F.floor(-acc.want / x.size), base + x.up)
+        n = F.when(acc.want >= 0, more).otherwise(-less).cast("int")
+        return F.struct((acc.want - n * x.size).alias("want"), F.concat(acc.done, F.array(F.struct(x.id.alias("id"), (x.up + n).alias("up")))).alias("done"))
 
     total = lambda f: F.aggregate(rows, F.lit(0.0), lambda a, x: a + f(x))
-    start = F.struct(total(lambda x: x.p * x.size).alias("want"), total(lambda x: x.size).alias("room"), F.expr("cast(array() as array<struct<id:string,up:int>>)").alias("done"))
-    return F.aggregate(rows, start, step, lambda acc: acc.done)
+    none = lambda kind: F.expr(f"cast(array() as array<struct<{kind}>>)").alias("done")
+    start = F.struct(total(lambda x: x.p * x.size).alias("want"), total(lambda x: x.size).alias("room"), none("id:string,size:double,up:int"))
+    drawn = F.aggregate(rows, start, step)
+    return F.aggregate(drawn["done"], F.struct(drawn["want"].alias("want"), none("id:string,up:int")), mend, lambda acc: acc.done)
 
 
-def round_copies(items: DataFrame, block: int = 32, keep: int = 24, seed: int = 0) -> DataFrame:
-    """Whole numbers of copies of items (id, source, size, rate, n_docs): (id, up), up in {0, 1}
-    to be added to floor(rate).
+def round_copies(items: DataFrame, cap: int = 3, block: int = 32, keep: int = 256, seed: int = 0) -> DataFrame:
+    """Whole numbers of copies of items (id, source, size, rate, n_docs): (id, up), to be added to
+    floor(rate): 0 or 1, but for what the root has to mend.
 
     The fractions of a source and a size class (a power of two) are rounded in blocks of about
     `block` items. What a block can't round is one item, which goes up a level of the tree, where
@@ -124,7 +134,7 @@ def round_copies(items: DataFrame, block: int = 32, keep: int = 24, seed: int =
     """
     frac = F.col("rate") - F.floor("rate")
     todo = items.where((F.col("size") > 0) & (frac > EPS) & (frac < 1 - EPS))
-    todo = todo.select("id", "source", F.col("size").cast("double").alias("size"), frac.alias("p"), F.col("n_docs").cast("double").alias("left"), F.floor(F.log2("size")).alias("class"))
+    todo = todo.select("id", "source", F.col("size").cast("double").alias("size"), frac.alias("p"), F.col("n_docs").cast("double").alias("left"), F.floor(F.log2("size")).alias("class"), F.floor("rate").cast("int").alias("base"))
     waits = uniform(F.col("id"), seed=seed - 1) * F.col("left") < keep
     rest, todo = todo.where(waits).drop("left"), todo.where(~waits)
     done, level = [], 0
@@ -132,15 +142,16 @@ def round_copies(items: DataFrame, block: int = 32, keep: int = 24, seed: int =
         blocks = F.greatest(F.lit(1.0), F.ceil(F.col("left") / block))
         key = F.pmod(F.xxhash64("id", F.lit(seed + 17 * level)), blocks.cast("long"))
         row = F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "size", "p", uniform(F.col("id"), seed=seed + 31 * level + 1).alias("u"))
-        folded = todo.groupBy("source", "class", key.alias("_block"), blocks.alias("left")).agg(_fold(F.array_sort(F.collect_list(row))).alias("r"))
-        folded = cut(folded.select("source", "class", "left", "r"), f"mix-level{level}")
+        folded = todo.groupBy("source", "class", "base", key.alias("_block"), blocks.alias("left")).agg(_fold(F.array_sort(F.collect_list(row))).alias("r"))
+        folded = cut(folded.select("source", "class", "base", "left", "r"), f"mix-level{level}")
         done.append(folded.select(F.inline("r.done")))
-        todo = folded.where("r.id IS NOT NULL").select("r.id", "source", "r.size", "r.p", "left", "class")
+        todo = folded.where("r.id IS NOT NULL").select("r.id", "source", "r.size", "r.p", "left", "class", "base")
         level += 1
         if todo.where("left > 1").limit(1).count() == 0:
             break
     last = F.struct((-F.col("size")).alias("o"), F.xxhash64("id", F.lit(seed)).alias("h"), "id", "size", "p", uniform(F.col("id"), seed=seed - 2).alias("u"))
-    root = todo.drop("left").unionByName(rest).groupBy("source").agg(_root(F.array_sort(F.collect_list(last))).alias("done"))
+    root = todo.drop("left").unionByName(rest).groupBy("source", "base").agg(F.array_sort(F.collect_list(last)).alias("rows"))
+    root = root.select(_root(F.col("rows"), F.col("base"), cap).alias("done"))
     return reduce(DataFrame.unionByName, [*done, root.select(F.inline("done"))])
 
 
@@ -161,7 +172,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
     rated = spread_join(rows.withColumn("_src", F.concat(F.lit("="), "source")).fillna({"_src": ""}), targets.withColumn("_src", F.concat(F.lit("="), "source")).fillna({"_src": ""}).drop("source"), "_src", F.struct("key", "occ"), n_sources, "inner")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     rated = rated.withColumn("rate", rate).withColumn("id", F.concat_ws("#", "key", "occ")).drop("_src")
-    ups = round_copies(rated, seed=seed)
+    ups = round_copies(rated, int(cap), seed=seed)
     out = rated.join(ups, "id", "left")
     near = F.col("rate") - F.floor("rate") >= 1 - EPS
     copies = F.floor("rate") + F.coalesce("up", F.when(near, 1).otherwise(0))

@@ -28,7 +28,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"[A-Za-z]+[@$!*#0-9]+[A-Za-z][A-Za-z@$!*#0-9]*|[@$013457]+[A-Za-z][A-Za-z@$!*#0-9]*")
 _STRETCHED = re.compile(r"([A-Za-z])\1\1")
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-]){3,}[^\W\d_](?![^\W_])")
-_PLAIN = str.maketrans("@$!013457", "asioleast")
+_PLAIN = str.maketrans("@$!013457", "asioieast")
 
 
 @dataclass
