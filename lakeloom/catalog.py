@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.ddl import TableDef, parse_create_table
+from lakeloom.loose import rewrite_loose_group
 from lakeloom.sources.text import read_text_table
 
 
@@ -32,5 +34,13 @@ class Catalog:
         for name in names:
             self.spark.read.parquet(f"{folder or self.data}/{name}.parquet").createOrReplaceTempView(name)
 
-    def sql(self, query: str, **views: DataFrame) -> DataFrame:
-        return self.spark.sql(query, **views)
+    def sql(self, query: str) -> DataFrame:
+        """A query over the tables. Where Spark refuses it for a column that is neither grouped nor
+        aggregated, that column is taken from one row of its group (see loose.py)."""
+        try:
+            return self.spark.sql(query)
+        except AnalysisException as e:
+            loose = rewrite_loose_group(query) if e.getCondition() in ("MISSING_AGGREGATION", "UNRESOLVED_COLUMN.WITH_SUGGESTION") else None
+            if loose is None:
+                raise
+            return self.spark.sql(loose)

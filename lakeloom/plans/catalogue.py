@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeloom.catalog import Catalog
 from lakeloom.functions import date_literal
 from lakeloom.layout import fresh_path, load_sorted, save_bucketed
 from lakeloom.operators import (
@@ -374,6 +375,52 @@ def sorted_layout_scan(t: Tables) -> DataFrame:
     return range_filter(stored, "o_orderdate", date_literal("1997-06-01"), date_literal("1997-07-01"))
 
 
+# SQL text as it is
+
+
+def views(t: Tables, *names: str) -> Catalog:
+    """A catalog whose views are the named tables."""
+    catalog = Catalog(t._spark, t._folder)
+    catalog.parquet(*names)
+    return catalog
+
+
+_LOOSE = """SELECT {loose} o_custkey, count(*) AS n_orders, max(o_totalprice) AS best FROM orders, customer
+    WHERE o_custkey = c_custkey AND c_mktsegment = 'HOUSEHOLD' GROUP BY o_custkey"""
+
+
+@query(_LOOSE.format(loose="min(c_name) AS c_name,"))
+def sql_loose_group(t: Tables) -> DataFrame:
+    # The name depends on the key, so any row of the group has it.
+    return views(t, "orders", "customer").sql(_LOOSE.format(loose="customer.c_name,"))
+
+
+_CTE = """WITH big AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY o_custkey)
+    SELECT c_name, n FROM big JOIN customer ON c_custkey = o_custkey WHERE n > (SELECT avg(n) FROM big)"""
+
+
+@query(_CTE)
+def sql_cte_and_scalar_subquery(t: Tables) -> DataFrame:
+    return views(t, "orders", "customer").sql(_CTE)
+
+
+_IN = """SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)
+    AND s_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_nationkey = s_nationkey)"""
+
+
+@query(_IN)
+def sql_in_and_correlated_subquery(t: Tables) -> DataFrame:
+    return views(t, "supplier", "nation", "customer").sql(_IN)
+
+
+_UNION = "SELECT n_name AS name FROM nation WHERE n_regionkey = 1 UNION SELECT r_name FROM region UNION ALL SELECT 'AFRICA' ORDER BY name LIMIT 9"
+
+
+@query(_UNION)
+def sql_union_with_order(t: Tables) -> DataFrame:
+    return views(t, "nation", "region").sql(_UNION)
+
+
 # Beyond parity
 
 

@@ -96,3 +96,24 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "q.sql").write_text("select name from nation where name = 'B'; select broken")
     assert main(["--data", str(tmp_path), "--load", str(tmp_path / "load.sql"), str(tmp_path / "q.sql")]) == 1
     assert capsys.readouterr().out == "B\nB\n"
+
+
+def test_loose_columns_come_from_one_row(spark, tmp_path, capsys):
+    (tmp_path / "items.dat").write_text("1|2|b|10.5|\n1|1|z|2.5|\n2|7|c|1|\n")
+    catalog = Catalog(spark, str(tmp_path))
+    script = """create table items (k int, line int, tag char(1), price decimal);
+        select items.k, sum(items.price * (1 - 0.5)) as half, items.line, tag as t from items where tag <> '(' group by items.k having half > 0 order by half desc, k limit 10;
+        select k, nope from items group by k; select k, count(*) from items group by k order by k"""
+    done = run_script(catalog, script)
+    out = capsys.readouterr()
+    assert out.out == "1|6.5|1|z\n2|0.5|7|c\n1|2\n2|1\n" and [o.error is None for o in done] == [True, True, False, True]
+
+
+def test_clauses_are_found_outside_of_brackets_and_quotes():
+    from lakeloom.loose import clauses, rewrite_loose_group
+
+    query = "select a, (select max(x) from t group by y) as m, 'group by' from u where b in (select c from v) group by a"
+    at = clauses(query)
+    assert query[slice(*at["group by"])].strip() == "a" and query[slice(*at["from"])].strip() == "u"
+    assert rewrite_loose_group(query) is None and rewrite_loose_group("select a from t") is None
+    assert rewrite_loose_group("select a, b from t group by a").split() == "select a, min_by(b, struct(b)) AS b from t group by a".split()
