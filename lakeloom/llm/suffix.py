@@ -15,8 +15,13 @@ from lakeloom.llm.words import mix
 #: Bytes of the k-grams that anchors are chosen among, and zero bytes between two texts.
 GRAM, GAP = 16, 128
 #: Bytes of text in a chunk, anchors in a bucket, contexts in a bucket, bytes in one transform.
-CHUNK_BYTES, BUCKET_ANCHORS, BUCKET_CONTEXTS, STEP = 4 << 20, 2_000_000, 50_000, 1 << 18
+CHUNK_BYTES, BUCKET_ANCHORS, BUCKET_CONTEXTS, STEP = 4 << 20, 1_000_000, 50_000, 1 << 18
+#: Bytes whose anchors are found at a time, so that arrays stay in the cache.
+SLICE = 1 << 17
+#: Contexts of one k-gram that are compared as they are.
+HOT = 1024
 _NONE = np.uint64(2**64 - 1)
+_ZSTD = pa.Codec("zstd", 3)
 _FAR = np.int64(2**63 - 1)
 
 
@@ -62,8 +67,8 @@ class Texts:
         np.add.at(edge, self.end[long] - GRAM + 1, -1)
         valid = np.cumsum(edge[:-1], dtype=np.int32) > 0
         wide = length - GRAM + 1
-        for a in range(0, len(self.buf), STEP * 2):
-            lo, hi = max(0, a - GAP), min(len(self.buf), a + STEP * 2 + 2 * GAP)
+        for a in range(0, len(self.buf), SLICE):
+            lo, hi = max(0, a - GAP), min(len(self.buf), a + SLICE + 2 * GAP)
             eight = _eight(self.buf[lo:hi])
             n = len(eight) - (GRAM - 8)
             if n <= wide:
@@ -74,7 +79,7 @@ class Texts:
             least = _slide(h, wide, np.minimum)
             pad = np.zeros(wide - 1, np.uint64)
             at = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), wide, np.maximum) == h) & ok)
-            at = at[(at + lo >= a) & (at + lo < a + STEP * 2)]
+            at = at[(at + lo >= a) & (at + lo < a + SLICE)]
             context = np.zeros(len(at), np.uint64)
             for off in range(-self.left, length, 8):
                 context = mix(context * np.uint64(0x165667B19E3779F9) + eight[np.minimum(at + off, len(eight) - 1)])
@@ -84,7 +89,8 @@ class Texts:
                 for off in steps:
                     x = mix(x + eight[np.minimum(at + a0 + off, len(eight) - 1)])
                 side.append(x >> np.uint64(52))
-            places.append(at + lo), prints.append(h[at]), contexts.append(context), sides.append(side[0] << np.uint64(12) | side[1])
+            places.append(at + lo), prints.append(mix(h[at]))  # least hashes are small; mixed again they are even
+            contexts.append(context), sides.append(side[0] << np.uint64(12) | side[1])
         self.sides = np.concatenate(sides) if sides else np.zeros(0, np.uint64)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.place, self.print, context = cat(places, np.int64), cat(prints, np.uint64), cat(contexts, np.uint64)
@@ -95,9 +101,10 @@ class Texts:
         self.context = mix(context + (self.clip_left * 256 + self.clip_right).astype(np.uint64))
 
     def classes(self, buckets: int) -> None:
-        """Anchors of equal k-gram and context are a class; classes are in order of bucket."""
-        bucket = (self.print % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((self.context, self.print, bucket))
+        """Anchors of equal k-gram and context are a class; classes are in order of bucket. (Should the upper
+        bits of two k-grams be equal, a class may come in several pieces, which does no harm.)"""
+        bucket = ((self.print >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort((self.print >> np.uint64(20) << np.uint64(20)) | (self.context >> np.uint64(44)))
         f, c = self.print[order], self.context[order]
         new = np.concatenate([[True], (f[1:] != f[:-1]) | (c[1:] != c[:-1])]) if len(f) else np.zeros(0, bool)
         self.first = order[new]
@@ -138,6 +145,27 @@ def _read_columns(data: bytes, count: int) -> list[np.ndarray]:
     return out
 
 
+def _squeeze(data: bytes) -> bytes:
+    return np.int64(len(data)).tobytes() + _ZSTD.compress(data, asbytes=True)
+
+
+def _expand(data: bytes) -> bytes:
+    return _ZSTD.decompress(data[8:], decompressed_size=int(np.frombuffer(data, np.int64, 1)[0]), asbytes=True)
+
+
+def _join(*parts: bytes) -> bytes:
+    return b"".join(np.int64(len(p)).tobytes() + p for p in parts)
+
+
+def _split(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int(np.frombuffer(data, np.int64, 1, at)[0])
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def _texts(table: pa.Table, length: int) -> Texts:
     order = np.lexsort((np.array([hash_of(t) for t in table.column("text").to_pylist()]), table.column("doc").to_numpy()))
     table = table.take(pa.array(order))
@@ -154,7 +182,7 @@ def _anchors(length: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         texts = _texts(table, length)
         texts.classes(buckets)
-        rows = [(b, _columns(texts.print[texts.first[i:j]] >> np.uint64(24), texts.context[texts.first[i:j]] >> np.uint64(24), texts.sides[texts.first[i:j]], texts.least[i:j])) for b, (i, j) in enumerate(zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist(), strict=True)) if i < j]
+        rows = [(b, _columns(texts.print[texts.first[i:j]] & np.uint64(2**40 - 1), texts.context[texts.first[i:j]] >> np.uint64(24), texts.sides[texts.first[i:j]], texts.least[i:j])) for b, (i, j) in enumerate(zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist(), strict=True)) if i < j]
         chunk = table.column("chunk")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
@@ -214,11 +242,11 @@ def _settle(length: int, buckets: int, context_buckets: int):
     """A chunk's texts and what its classes met elsewhere.
 
     kind 0: texts that are settled. kind 1: contexts that differ from others of their k-gram, by
-    bucket. kind 2: texts that wait for those.
+    bucket. kind 2: the texts that wait for those, in one row.
     """
 
     def run(table: pa.Table, met: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("kind", "key", "chunk", "doc", "n_bytes", "n_removed", "n_spans", "sha", "text", "blob")}
+        out: dict[str, list] = {c: [] for c in ("kind", "key", "chunk", "doc", "n_bytes", "n_removed", "n_spans", "sha", "blob")}
 
         def put(**row):
             for c in out:
@@ -251,31 +279,37 @@ def _settle(length: int, buckets: int, context_buckets: int):
         order = np.argsort(bucket, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
             f = first[part]
-            head = _columns(part, texts.print[f].view(np.int64), texts.context[f].view(np.int64), texts.clip_left[f], texts.clip_right[f], texts.least[which[part]])
-            put(kind=1, key=int(bucket[part[0]]), chunk=chunk, blob=np.int64(len(head)).tobytes() + head + rows[part].tobytes())
+            head = _columns(part, texts.clip_left[f], texts.clip_right[f], texts.least[which[part]])
+            put(kind=1, key=int(bucket[part[0]]), chunk=chunk, blob=_join(head, _squeeze(rows[part].tobytes())))
         by_doc = np.searchsorted(texts.owner, np.arange(len(texts.docs) + 1))
-        raw = texts.buf.tobytes()
+        raw = memoryview(texts.buf)
+        later, later_spans, later_places = [], [], []
         for d in range(len(texts.docs)):
             a, b = by_doc[d], by_doc[d + 1]
             text = raw[texts.start[d] : texts.end[d]]
             own = spans[a:b][gone[a:b]]
             if waits[a:b].any():
                 w = np.flatnonzero(waits[a:b]) + a
-                head = _columns(own[:, 0], own[:, 1])
-                put(kind=2, key=chunk, chunk=chunk, doc=int(texts.docs[d]), text=text, blob=np.int64(len(head)).tobytes() + head + _columns(number[texts.of[w]], texts.place[w] - texts.left - texts.start[d]))
+                later.append((d, len(own), len(w)))
+                later_spans.append(own), later_places.append(np.stack([number[texts.of[w]], texts.place[w] - texts.left - texts.start[d]], axis=1))
             else:
                 n, runs, sha = _kept(text, own)
                 put(kind=0, doc=int(texts.docs[d]), n_bytes=len(text), n_removed=n, n_spans=runs, sha=sha)
+        if later:
+            d, n_own, n_places = np.array(later).T
+            own, places = np.concatenate(later_spans), np.concatenate(later_places)
+            heads = _columns(texts.docs[d], texts.end[d] - texts.start[d], n_own, n_places), _columns(own[:, 0], own[:, 1]), _columns(places[:, 0], places[:, 1])
+            put(kind=2, key=chunk, chunk=chunk, blob=_join(*heads, _squeeze(b"".join(raw[texts.start[i] : texts.end[i]] for i in d))))
         return _settled(out)
 
     return run
 
 
-_SETTLED = "kind int, key long, chunk long, doc long, n_bytes long, n_removed long, n_spans long, sha string, text binary, blob binary"
+_SETTLED = "kind int, key long, chunk long, doc long, n_bytes long, n_removed long, n_spans long, sha string, blob binary"
 
 
 def _settled(out: dict[str, list]) -> pa.Table:
-    kinds = {"kind": pa.int32(), "sha": pa.string(), "text": pa.binary(), "blob": pa.binary()}
+    kinds = {"kind": pa.int32(), "sha": pa.string(), "blob": pa.binary()}
     return pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
 
 
@@ -287,7 +321,7 @@ def suffix_array(codes: np.ndarray, width: int) -> np.ndarray:
         key = (key << width) | np.concatenate([codes[i:], np.zeros(min(i, n), np.int64)])
     span = per
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)]))
@@ -307,6 +341,7 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, length: int) -> np.nda
     `length` is made, and none once no border is new.
     """
     last = codes[order - 1]  # the Burrows-Wheeler transform
+    last = last.astype(np.uint16) if codes.max() < 1 << 16 else last  # which is sorted by its digits
     back = np.argsort(last, kind="stable")  # the suffix of rank back[q], extended to the left, has rank q
     symbol = last[back]
     other = np.concatenate([[True], symbol[1:] != symbol[:-1]])
@@ -345,6 +380,72 @@ def _windows(rows: np.ndarray, left: np.ndarray, right: np.ndarray, docs: np.nda
     return out
 
 
+def _in_batches(rows, left, right, docs, group, length: int) -> np.ndarray:
+    """_windows() of groups of contexts, as many groups at a time as fit STEP bytes. group: sorted."""
+    out = np.full((len(rows), rows.shape[1] - length + 1), _FAR)
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    ends, at = np.concatenate([starts[1:], [len(rows)]]), 0
+    while at < len(starts):
+        to = at + 1
+        while to < len(starts) and (ends[to] - starts[at]) * (rows.shape[1] + 1) <= STEP:
+            to += 1
+        part = slice(starts[at], ends[to - 1])
+        out[part] = _windows(rows[part], left[part], right[part], docs[part], length)
+        at = to
+    return out
+
+
+def _hash_columns(rows: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    out = seed = seed.astype(np.uint64)
+    for i in range(rows.shape[1]):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + rows[:, i] + np.uint64(1)
+    return mix(out ^ mix(seed))
+
+
+def _least_docs(rows, left, right, docs, gram, length: int) -> np.ndarray:
+    """Of each context's windows, the smallest doc of all contexts of its k-gram with the same window;
+    _FAR where the text ends. Contexts are distinct and in order of gram.
+
+    A k-gram with many contexts (one that starts a common line, say) is taken in steps of how far
+    windows reach to its left: those that reach t to 2t - 1 bytes only need contexts that agree on t
+    bytes to the left and on the bytes to the right that all these windows hold, cut to 2t - 1 bytes
+    on the left. Most of them are then equal, so groups stay small.
+    """
+    before = length - GRAM
+    offset = np.arange(before + 1)[None, :]
+    inside = (offset >= before - left[:, None]) & (offset + length <= before + right[:, None])
+    found = np.where(inside, docs[:, None], _FAR)
+    # A window has at least half of its other bytes on one side of the k-gram: contexts whose halves both
+    # stand alone in their k-gram meet only their equals.
+    half = before // 2
+    sides = [_hash_columns(rows[:, i:j], gram) for i, j in ((before - half, before), (before + GRAM, before + GRAM + half))]
+    meets = np.flatnonzero(~(_alone(gram, sides[0]) & _alone(gram, sides[1])))
+    size = np.unique(gram[meets], return_inverse=True, return_counts=True)
+    hot = size[2][size[1]] > HOT if len(meets) else np.zeros(0, bool)
+    some = meets[~hot]
+    found[some] = _in_batches(rows[some], left[some], right[some], docs[some], gram[some], length)
+    many = meets[hot]
+    t = 0
+    while len(many) and t <= before:
+        reach = min(before, max(0, 2 * t - 1))
+        need = before - reach
+        use = many[(left[many] >= t) & (right[many] >= GRAM + need)]
+        cut_rows, cut_left = rows[use].copy(), np.minimum(left[use], reach)
+        cut_rows[:, : before - reach] = 0
+        key = _hash_columns(rows[use][:, before + GRAM : before + GRAM + need], _hash_columns(rows[use][:, before - t : before], gram[use]))
+        whole = _hash_columns(cut_rows, key ^ mix((cut_left * 256 + right[use]).astype(np.uint64)))
+        order = np.lexsort((docs[use], whole, key))
+        first = np.concatenate([[True], (whole[order][1:] != whole[order][:-1]) | (key[order][1:] != key[order][:-1])]) if len(use) else np.zeros(0, bool)
+        lead = order[first]
+        which = np.empty(len(use), np.int64)
+        which[order] = np.cumsum(first) - 1
+        least = _in_batches(cut_rows[lead], cut_left[lead], right[use][lead], docs[use][lead], key[lead], length)
+        columns = np.arange(before - reach, before - t + 1)
+        found[use[:, None], columns[None, :]] = np.where(inside[use][:, columns], least[which][:, columns], _FAR)
+        t = 2 * t if t else 1
+    return found
+
+
 def _resolve(length: int):
     """A bucket's contexts to the smallest doc of each of their windows, a row for each chunk:
     runs (class, from, to, doc)."""
@@ -352,11 +453,13 @@ def _resolve(length: int):
     def run(table: pa.Table) -> pa.Table:
         chunks, heads, rows = table.column("chunk").to_pylist(), [], []
         for blob in table.column("blob").to_pylist():
-            n = int(np.frombuffer(blob, np.int64, 1)[0])
-            heads.append(_read_columns(blob[8 : 8 + n], 6))
-            rows.append(np.frombuffer(blob, np.uint8, offset=8 + n).reshape(len(heads[-1][0]), -1))
-        number, gram, context, left, right, doc = (np.concatenate([h[i] for h in heads]) for i in range(6))
+            head, squeezed = _split(blob)
+            heads.append(_read_columns(head, 4))
+            rows.append(np.frombuffer(_expand(squeezed), np.uint8).reshape(len(heads[-1][0]), -1))
+        number, left, right, doc = (np.concatenate([h[i] for h in heads]) for i in range(4))
         owner, rows = np.repeat(np.arange(len(heads)), [len(h[0]) for h in heads]), np.concatenate(rows)
+        gram = _hash_columns(rows[:, length - GRAM : length], np.zeros(len(rows))).view(np.int64)
+        context = _hash_columns(rows, gram.view(np.uint64) ^ mix((left * 256 + right).astype(np.uint64)))
         order = np.lexsort((doc, context, gram))
         g, c = gram[order], context[order]
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
@@ -364,32 +467,9 @@ def _resolve(length: int):
         kind[order] = np.cumsum(new) - 1
         lead = order[new]  # of equal contexts, the one with the smallest doc
         g, docs = gram[lead], doc[lead]
-        # A window has at least half of its other bytes on one side of the k-gram: contexts whose halves both
-        # stand alone in their k-gram meet only their equals.
-        half, before = (length - GRAM) // 2, length - GRAM
-        alone = np.ones(len(lead), bool)
-        for a, b in ((before - half, before), (before + GRAM, before + GRAM + half)):
-            side = np.zeros(len(lead), np.uint64)
-            for i in range(a, b):
-                side = side * np.uint64(0xD6E8FEB86659FD93) + rows[lead, i] + np.uint64(1)
-            side = mix(side ^ mix(g.view(np.uint64)))
-            _, back, count = np.unique(side, return_inverse=True, return_counts=True)
-            alone &= count[back] == 1
-        offset = np.arange(before + 1)[None, :]
-        inside = (offset >= before - left[lead][:, None]) & (offset + length <= before + right[lead][:, None])
-        found = np.where(inside, docs[:, None], _FAR)
-        meets = np.flatnonzero(~alone)
-        starts = np.flatnonzero(np.concatenate([[True], g[meets][1:] != g[meets][:-1]])) if len(meets) else np.zeros(0, np.int64)
-        ends, at = np.concatenate([starts[1:], [len(meets)]]), 0
-        while at < len(starts):
-            to = at + 1
-            while to < len(starts) and (ends[to] - starts[at]) * (rows.shape[1] + 1) <= STEP:
-                to += 1
-            some = meets[starts[at] : ends[to - 1]]
-            found[some] = _windows(rows[lead[some]], left[lead[some]], right[lead[some]], docs[some], length)
-            at = to
+        found = _least_docs(rows[lead], left[lead], right[lead], docs, g, length)
         # Runs of windows with one smallest doc.
-        edge = np.ones((len(lead), before + 2), bool)
+        edge = np.ones((len(lead), found.shape[1] + 1), bool)
         edge[:, 1:-1] = found[:, 1:] != found[:, :-1]
         cls, lo = np.nonzero(edge[:, :-1])
         hi = np.nonzero(edge[:, 1:])[1]
@@ -416,19 +496,23 @@ def _finish(length: int):
         cls, lo, hi, low = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
         order = np.argsort(cls, kind="stable")
         cls, lo, hi, low = cls[order], lo[order], hi[order], low[order]
-        for doc, text, blob in zip(waiting.column("doc").to_pylist(), waiting.column("text").to_pylist(), waiting.column("blob").to_pylist(), strict=True):
-            n = int(np.frombuffer(blob, np.int64, 1)[0])
-            own = np.stack(_read_columns(blob[8 : 8 + n], 2), axis=1)
-            number, place = _read_columns(blob[8 + n :], 2)
+        for blob in waiting.column("blob").to_pylist():
+            docs, spans, places, squeezed = _split(blob)
+            docs, sizes, n_own, n_places = _read_columns(docs, 4)
+            spans, (number, place), texts = np.stack(_read_columns(spans, 2), axis=1), _read_columns(places, 2), memoryview(_expand(squeezed))
+            at, own_at, place_at = (np.concatenate([[0], np.cumsum(x)]).tolist() for x in (sizes, n_own, n_places))
             a, b = np.searchsorted(cls, number), np.searchsorted(cls, number, "right")
-            count = b - a
-            at = np.repeat(a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            place = np.repeat(place, count)
-            gone = low[at] < doc
-            more = np.stack([place + lo[at], place + hi[at] + length], axis=1)[gone]
-            removed, spans, sha = _kept(text, np.concatenate([own, more]))
-            for c, v in zip(out, (doc, len(text), removed, spans, sha), strict=True):
-                out[c].append(v)
+            for d, doc in enumerate(docs.tolist()):
+                i, j = place_at[d], place_at[d + 1]
+                count = b[i:j] - a[i:j]
+                run_at = np.repeat(a[i:j], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                first = np.repeat(place[i:j], count)
+                gone = low[run_at] < doc
+                more = np.stack([first + lo[run_at], first + hi[run_at] + length], axis=1)[gone]
+                text = texts[at[d] : at[d + 1]]
+                removed, n_spans, sha = _kept(text, np.concatenate([spans[own_at[d] : own_at[d + 1]], more]))
+                for c, v in zip(out, (doc, len(text), removed, n_spans, sha), strict=True):
+                    out[c].append(v)
         return pa.table({c: pa.array(v, pa.string() if c == "sha" else pa.int64()) for c, v in out.items()})
 
     return run
@@ -463,9 +547,9 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     prints = base.groupBy("chunk").applyInArrow(_anchors(length, buckets), "bucket long, chunk long, blob binary")
     met = prints.groupBy("bucket").applyInArrow(_meet, "chunk long, bucket long, blob binary")
     settled = base.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_settle(length, buckets, context_buckets), _SETTLED)
-    settled = cut(settled.select("key", "chunk", "doc", "n_bytes", "n_removed", "n_spans", "sha", "text", "blob", "kind"), "suffix-settled", ("kind",))
+    settled = cut(settled.select("key", "chunk", "doc", "n_bytes", "n_removed", "n_spans", "sha", "blob", "kind"), "suffix-settled", ("kind",))
     names = "doc long, n_bytes long, n_removed long, n_spans long, sha string"
     runs = settled.where("kind = 1").select("key", "chunk", "blob").groupBy("key").applyInArrow(_resolve(length), "chunk long, blob binary")
-    late = settled.where("kind = 2").select("chunk", "doc", "text", "blob").groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInArrow(_finish(length), names)
+    late = settled.where("kind = 2").select("chunk", "blob").groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInArrow(_finish(length), names)
     out = settled.where("kind = 0").select("doc", "n_bytes", "n_removed", "n_spans", "sha").unionByName(late)
     return out.select(F.when(F.col("doc") != null, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))

@@ -71,3 +71,40 @@ def test_borders_are_those_of_common_prefixes():
         for length in (1, 2, 5, 30):
             want = [True] + [a[:length] != b[:length] or min(len(a), len(b)) < length for a, b in zip(suffixes, suffixes[1:], strict=False)]
             assert common_prefixes(codes, order, length).tolist() == want
+
+
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_common_k_grams_in_steps(monkeypatch, hot):
+    """The smallest doc of every window, by brute force, with and without the steps for common k-grams."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rng = random.Random(hot)
+    length, before = 50, 50 - suffix.GRAM
+    lines = ["".join(rng.choice("ab") for _ in range(before)) for _ in range(3)]
+    contexts = set()
+    for _ in range(400):
+        n = rng.choice([0, 1, 2, 3, 5, 9, before])
+        left = ("".join(rng.choice("xy") for _ in range(before)) + rng.choice(lines))[-before - n :][:before] if rng.random() < 0.5 else "".join(rng.choice("xy") for _ in range(before - 8)) + rng.choice(["pqrstuvw", "pqrstuvz"])
+        right = rng.choice(lines)[: rng.choice([before, before, 20, 7])]
+        right += "".join(rng.choice("xy") for _ in range(before - len(right)))
+        contexts.add((rng.randint(0, 1), left, right, rng.choice([before, before, 12, 0]), rng.choice([length, length, 40])))
+    contexts = sorted(contexts)
+    gram = np.array([c[0] for c in contexts], np.int64)
+    rows = np.zeros((len(contexts), before + length), np.uint8)
+    for i, (g, left, right, a, b) in enumerate(contexts):
+        text = (left + "GH"[g] * suffix.GRAM + right).encode()
+        rows[i] = np.frombuffer(text, np.uint8)
+        rows[i, : before - a] = 0
+        rows[i, before + b :] = 0
+    left, right = np.array([c[3] for c in contexts]), np.array([c[4] for c in contexts])
+    docs = np.array(rng.sample(range(1000), len(contexts)), np.int64)
+    least: dict = {}
+    for i in range(len(contexts)):
+        for j in range(before + 1):
+            if j >= before - left[i] and j + length <= before + right[i]:
+                w = rows[i, j : j + length].tobytes()
+                least[w] = min(least.get(w, 10**9), docs[i])
+    got = suffix._least_docs(rows, left, right, docs, gram, length)
+    for i in range(len(contexts)):
+        for j in range(before + 1):
+            real = j >= before - left[i] and j + length <= before + right[i]
+            assert got[i, j] == (least[rows[i, j : j + length].tobytes()] if real else suffix._FAR), (i, j)
