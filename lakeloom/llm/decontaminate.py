@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.minhash import steps
-from lakeloom.llm.words import PLAIN, mix, shingle_hashes, text_bytes, words_of
+from lakeloom.llm.words import PLAIN, mix, shingle_hashes, steps, text_bytes, words_of
 
 #: Bits of a fingerprint, the blocks it is cut into and the radius searched. At a similarity of 0.8
 #: about 19 of 128 bits differ, with a deviation of 4.

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import BROADCAST_ROWS, components, cut, discard, free_names, spread_join
-from lakeloom.llm.words import mix, shingle_sets, text_bytes, words_of
+from lakeloom.llm.words import mix, shingle_sets, steps, text_bytes, words_of
 
 #: Permutations; each gives a minimum and a maximum. 2 * PERMS = BANDS * ROWS.
 PERMS, BANDS, ROWS = 100, 40, 5
@@ -19,8 +17,8 @@ PERMS, BANDS, ROWS = 100, 40, 5
 AGREE = 0.76
 #: A member of a hot band that agrees this well with an earlier one stands behind it.
 SAME = 0.95
-#: Bytes of text that are worked on at a time, and rows of a block of sets compared at once.
-STEP_BYTES, BLOCK = 1 << 21, 512
+#: Sets that are compared with one another at once.
+BLOCK = 512
 #: Members that stand for a part of a large group.
 HEADS = 8
 
@@ -28,16 +26,6 @@ _FACTORS = mix(np.arange(1, PERMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F
 _SKETCH_WORDS = -(-2 * PERMS // 64)
 
 
-def steps(data: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about STEP_BYTES of text each."""
-    _, offsets = text_bytes(data.column(column))
-    at = 0
-    while at < len(offsets) - 1:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, "right")) - 1)
-        yield data.slice(at, to - at)
-        at = to
-
-
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Minima and maxima of each non-empty set under every permutation: (sets, 2 * PERMS)."""
     out = np.empty((len(sets), 2 * PERMS), np.uint64)

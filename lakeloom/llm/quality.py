@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import cut, uniform
-from lakeloom.llm.minhash import steps
 from lakeloom.llm.stats import NAMES, dense_stats
-from lakeloom.llm.words import text_bytes
+from lakeloom.llm.words import steps, text_bytes
 
 #: Documents of each kind, trusted positive and unlabelled, that the model is fitted on.
 FIT_ROWS = 8_000

@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import cut
-from lakeloom.llm.minhash import steps
 from lakeloom.llm.quality import fold, labelled_sample
 from lakeloom.llm.stats import dense_stats
-from lakeloom.llm.words import text_bytes
+from lakeloom.llm.words import steps, text_bytes
 
 #: Labelled documents that lexicon, trees and calibration are fitted on; entries of a learned lexicon.
 FIT_ROWS, TERMS = 12_000, 1_000

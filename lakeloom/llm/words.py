@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,10 @@ PLAIN = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
+#: Bytes of text that are worked on at a time.
+STEP_BYTES = 1 << 21
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all depend on one another."""
     x = x ^ (x >> np.uint64(30))
@@ -45,6 +50,16 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def steps(data: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about STEP_BYTES of text each."""
+    _, offsets = text_bytes(data.column(column))
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, "right")) - 1)
+        yield data.slice(at, to - at)
+        at = to
+
+
 @dataclass
 class Words:
     """Hashes of the words of several texts, in order. first[i]:first[i + 1] are those of text i."""
