@@ -89,9 +89,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents; clean ones give no row."""
     from lakeloom.llm.decontaminate import find_leaks
 
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    return found.select("doc_id", F.col("best_item").alias("item_id"), "similarity", F.size("item_ids").alias("n_items"), "contaminated")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
