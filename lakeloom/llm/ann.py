@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut
+from lakeloom.llm.common import cut, ship
 
 #: Vectors the codebooks are fitted on, and centroids of each half at most.
 FIT_ROWS, CENTROIDS = 20_000, 128
@@ -183,6 +183,7 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = 10, shar
     vectors and GROUP_QUERIES queries, however common a vector is.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = usable_vectors(vectors, id_col, vec_col)
     is_query = F.col("id") % 100 == 0 if is_query is None else is_query
     sample = np.array([r["vec"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("vec").collect()])

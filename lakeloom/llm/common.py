@@ -6,15 +6,20 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import lakeloom
+
 #: A side with at most this many rows (of a few short columns) is broadcast.
 BROADCAST_ROWS = 100_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +42,20 @@ def scratch(spark: SparkSession) -> str:
     return _own[app]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a session: they may not have it on their path."""
+    sc, package = spark.sparkContext, Path(lakeloom.__file__).parent
+    if sc.applicationId in _shipped or not package.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="lakeloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/lakeloom-code.zip", "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, f"lakeloom/{file.relative_to(package)}")
+    sc.addPyFile(f"{folder}/lakeloom-code.zip")
+    _shipped.add(sc.applicationId)
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/lakeloom/{name}-{uuid.uuid4().hex}"
 

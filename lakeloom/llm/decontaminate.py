@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm.common import ship
 from lakeloom.llm.words import PLAIN, mix, shingle_hashes, steps, text_bytes, words_of
 
 #: Bits of a fingerprint, the blocks it is cut into and the radius searched. At a similarity of 0.8
@@ -160,6 +161,7 @@ def _search(index, threshold: float):
 
 def _blocks(benchmark: DataFrame, k: int, item_col: str, item_text_col: str):
     """The items as broadcast indexes of about ITEMS items and ITEM_BYTES bytes, however many there are."""
+    ship(benchmark.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // ITEMS), -(-size // ITEM_BYTES))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import BROADCAST_ROWS, components, cut, discard, free_names, spread_join
+from lakeloom.llm.common import BROADCAST_ROWS, components, cut, discard, free_names, ship, spread_join
 from lakeloom.llm.words import mix, shingle_sets, steps, text_bytes, words_of
 
 #: Permutations; each gives a minimum and a maximum. 2 * PERMS = BANDS * ROWS.
@@ -332,6 +332,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     fetched for an exact comparison of whole sets. See _verified() for groups of any size.
     """
     spark = docs.sparkSession
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc"]
     hashed = rows.mapInArrow(_hash_rows(k), f"doc {kind}, key string, text_hash long, n long, set binary, bands array<long>, sketch binary")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, uniform
+from lakeloom.llm.common import cut, ship, uniform
 from lakeloom.llm.stats import NAMES, dense_stats
 from lakeloom.llm.words import steps, text_bytes
 
@@ -118,6 +118,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
     ids count as the empty text for the fold. Without positives or unlabelled text the score is the
     prior, or 1 without labels. Every row gives one row; other columns are dropped.
     """
+    ship(docs.sparkSession)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != held))
     prior = usable.agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0]
     prior = 1.0 if prior is None else float(prior)

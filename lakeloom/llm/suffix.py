@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut
+from lakeloom.llm.common import cut, ship
 from lakeloom.llm.words import mix
 
 #: Bytes of the k-grams that anchors are chosen among, and zero bytes between two texts.
@@ -537,6 +537,7 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     """
     if not 40 <= length <= 120:
         raise ValueError("length must be between 40 and 120")
+    ship(docs.sparkSession)
     null = -(2**63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("doc"), F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

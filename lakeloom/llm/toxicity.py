@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut
+from lakeloom.llm.common import cut, ship
 from lakeloom.llm.quality import fold, labelled_sample
 from lakeloom.llm.stats import dense_stats
 from lakeloom.llm.words import steps, text_bytes
@@ -216,6 +216,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
     where they don't show both labels. Each half of them is given the other half's lexicon, so the
     trees never see a lexicon that knew their labels; a quarter is kept for the calibration."""
     spark = docs.sparkSession
+    ship(spark)
     chosen = labelled_sample(labels, label_col, id_col, folds, held, fit_rows)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     sample = cut(sample.select("text", "y", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("half"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4)).cast("int").alias("pick")), "toxicity-sample")

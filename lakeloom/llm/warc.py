@@ -27,7 +27,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from lakeloom.llm.common import BROADCAST_ROWS, fresh, spread_join
+from lakeloom.llm.common import BROADCAST_ROWS, fresh, ship, spread_join
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, payload_digest string, "
@@ -324,6 +324,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
