@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from lakeloom import operators as op
 from lakeloom.functions import SCALARS, arithmetic, both, compare, date_literal, either, literal, one_of, within
 from lakeloom.layout import load, load_sorted, lookup, save_bucketed

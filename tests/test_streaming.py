@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from lakeloom.streaming import event_windows, read_event_stream, run_once
 
 FOLDER = "/root/testdata/sf0.001"
