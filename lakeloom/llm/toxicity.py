@@ -47,8 +47,8 @@ class Lexicon:
         hits = seeds | {w for w in known if self.words[w] > 1}
         at = [i for i, w in enumerate(words) if w in hits] if hits else []
         near = sum(1 for i in at if not SECOND.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]))
-        masked = _MASKED.findall(text)
-        unmasked = sum(1 for m in masked if m.lower().translate(_PLAIN) in SEED_WORDS or self.words.get(m.lower().translate(_PLAIN), 0) > 1)
+        masked = [m.rstrip("!*#").lower().translate(_PLAIN) for m in _MASKED.findall(text)]
+        unmasked = sum(m in SEED_WORDS or self.words.get(m, 0) > 1 for m in masked)
         spelled = [re.sub(r"[ .\-]", "", m).lower() for m in _SPELLED.findall(text)]
         weights = sorted((self.words[w] for w in known), reverse=True)
         stem_weights = sorted((self.stems[s] for s in stems), reverse=True)

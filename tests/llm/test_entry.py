@@ -23,6 +23,18 @@ def test_the_rest_stands_without_this_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
 
+def test_workers_need_not_have_the_package_on_their_path(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from lakeloom.llm.suffix import repeated_passages
+assert repeated_passages(spark.createDataFrame([(1, "x" * 80), (2, "x" * 80)], "doc_id long, text string")).where("n_removed = 80").count() == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
+
+
 @pytest.mark.parametrize("name", ["op1_url_filter", "op2_warc"])
 def test_queries_with_sql_equal_it(spark, name):
     import duckdb

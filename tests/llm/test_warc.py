@@ -41,7 +41,9 @@ def test_filters_reach_the_reader(spark, compression):
     assert everything.count() == len(PAGES)
     visits = everything.where("record_type = 'revisit'")
     assert {r.record_id for r in visits.collect()} == {"urn:page:1", "urn:page:3", "urn:page:null"}
-    assert "revisit" not in visits.select("record_id")._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]
+    mixed = everything.where("record_type = 'revisit' AND target_uri LIKE 'http://a/%' AND payload_length > 3")
+    left = mixed._jdf.queryExecution().executedPlan().toString().partition("Filter (")[2].partition("BatchScan")[0]
+    assert "payload_length" in left and "record_type" not in left and "target_uri" not in left and mixed.count() == 1
     assert everything.where("target_uri LIKE 'http://s/%' AND record_type IN ('response', 'revisit')").count() == 2
     assert everything.where("target_uri IS NOT NULL AND payload_length > 2000000").select("payload_length").first()[0] == 3_000_000
     bare = spark.read.format("warc").option("payload", "false").load(path)
