@@ -16,6 +16,8 @@ import lakeloom
 
 #: A side with at most this many rows (of a few short columns) is broadcast.
 BROADCAST_ROWS = 100_000
+#: Any number that a long holds is halved away in as many steps.
+DOUBLINGS = 64
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _own: dict[str, str] = {}
@@ -142,25 +144,46 @@ def ranked(df: DataFrame, key: str, order: list[Column], rows: int, spread: Colu
     )
 
 
+def _roots(edges: DataFrame, name: str) -> DataFrame:
+    """(node, root) of the nodes of edges (a, b) with a < b: each hangs on its smallest neighbour if that
+    is smaller than itself, and the root is where that leads."""
+    hung = edges.select(F.col("b").alias("node"), F.col("a").alias("to")).union(edges.select("a", F.col("a").alias("to")))
+    up = cut(hung.groupBy("node").agg(F.min("to").alias("root")), f"{name}-0")
+    for k in range(1, DOUBLINGS + 1):
+        new = cut(up.join(up.toDF("_node", "_root"), F.col("root") == F.col("_node")).select("node", F.col("_root").alias("root"), (F.col("_root") != F.col("root")).alias("changed")), f"{name}-{k}")
+        discard(up)
+        changed = new.where("changed").limit(1).count()
+        up = new.select("node", "root")
+        up._lakeloom_path = new._lakeloom_path
+        if not changed:
+            return up
+    raise RuntimeError(f"{name}: roots still change after {DOUBLINGS} doublings")
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges (a, b): a table (node, component), the smallest node of each.
 
-    Each round lowers a node's label to the least of its neighbours' and then follows the label
-    once, so long chains shrink by halves. Labels live in tables in the shared folder; the driver
-    only reads whether one changed.
+    Each round hangs every node on its smallest neighbour, follows these links to the root by doubling,
+    and goes on with the edges between roots until there are none. A root that no smaller one is next
+    to has one beneath it after the round or hangs on another after the next one, so two rounds halve
+    the roots at least, whatever the shape and the order of ids. Tables are in the shared folder; the
+    driver only reads whether anything is left. A node that has an edge to itself only isn't given.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), f"{name}-0")
-    for k in range(1, 200):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        low = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("low"))
-        up = low.select(F.col("node").alias("_up"), F.col("low").alias("_to"))
-        new = cut(low.join(up, low.low == up._up).select("node", F.col("_to").alias("new"), "component"), f"{name}-{k}")
-        discard(labels)
-        changed = new.where("new <> component").limit(1).count()
-        labels = new.select("node", F.col("new").alias("component"))
-        labels._lakeloom_path = new._lakeloom_path
-        if not changed:
-            break
-    discard(both)
-    return labels
+    between = lambda a, b, df: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+    left = cut(between("a", "b", edges), f"{name}-edges")
+    labels = None
+    for k in range(2 * DOUBLINGS):
+        up = _roots(left, f"{name}-{k}")
+        if labels is None:
+            labels = up.toDF("node", "component")
+            labels._lakeloom_path = up._lakeloom_path
+        else:
+            old, labels = labels, cut(labels.join(up.toDF("_node", "_root"), F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_root", "component").alias("component")), f"{name}-labels{k}")
+        ends = left.join(up.toDF("a", "_a"), "a").join(up.toDF("b", "_b"), "b")
+        new = cut(between("_a", "_b", ends), f"{name}-edges{k}")
+        discard(left, *([old, up] if k else []))
+        left = new
+        if not left.limit(1).count():
+            discard(left)
+            return labels
+    raise RuntimeError(f"{name}: components still meet after {2 * DOUBLINGS} rounds")
