@@ -4,30 +4,69 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, ship
+from lakeloom.llm.common import cut, discard, ship
 from lakeloom.llm.quality import fold, labelled_sample
-from lakeloom.llm.stats import dense_stats
-from lakeloom.llm.words import steps, text_bytes
+from lakeloom.llm.stats import NAMES, dense_stats
+from lakeloom.llm.words import LOWER, runs_of, span_hashes, steps, text_bytes, word_hash, words_of
 
 #: Labelled documents that lexicon, trees and calibration are fitted on; entries of a learned lexicon.
 FIT_ROWS, TERMS = 12_000, 1_000
+#: Tasks that compute the features of the fitted documents.
+SPREAD = 32
 #: Letters of a word's stem, and words between an insult and a second person that count as near.
 STEM, NEAR = 5, 4
 #: Insults that count before anything is learned.
 SEED_WORDS = frozenset("arsehole asshole bastard bitch clown coward creep cretin crap damn dimwit disgusting dumb dumbass dunce fool freak garbage idiot idiotic imbecile jackass jerk liar loser lowlife maggot moron moronic nitwit numbskull parasite pathetic pig rat scum scumbag shit shut stupid trash twat ugly useless vermin weirdo worthless wretch".split())
 #: Second persons in English, French, German and Spanish.
 SECOND = frozenset("you your yours yourself u ur ya tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes ti tus vosotros".split())
-_WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[A-Za-z]+[@$!*#0-9]+[A-Za-z][A-Za-z@$!*#0-9]*|[@$013457]+[A-Za-z][A-Za-z@$!*#0-9]*")
-_STRETCHED = re.compile(r"([A-Za-z])\1\1")
-_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-]){3,}[^\W\d_](?![^\W_])")
-_PLAIN = str.maketrans("@$!013457", "asioieast")
+#: Bytes of a masked word at most; longer ones are counted but never looked up, since no word is so long.
+LONGEST = 64
+_WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
+_C = np.arange(256)
+_ASCII_LETTER = ((_C | 32) >= 97) & ((_C | 32) <= 122)
+_LETTER = _ASCII_LETTER | (_C >= 128)
+_DIGIT = (_C >= 48) & (_C <= 57)
+_MARK, _JOINT, _TRAIL = _DIGIT.copy(), np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[ord(c) for c in "@$!*#"]] = True
+_JOINT[[ord(c) for c in " .-"]] = True
+_TRAIL[[ord(c) for c in "!*#"]] = True
+#: What the marks of a masked word stand for.
+_PLAIN = LOWER.copy()
+_PLAIN[[ord(c) for c in "@$!013457"]] = [ord(c) for c in "asioieast"]
+
+
+def _top(texts: int, owner: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text's weights: the sum, the greatest and the sum of the five greatest."""
+    order = np.lexsort((-weight, owner))
+    owner, weight = owner[order], weight[order]
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    some = lambda k: np.bincount(owner[nth < k], weight[nth < k], texts)
+    return np.bincount(owner, weight, texts), some(1), some(5)
+
+
+class _Table:
+    """Hashes of words, sorted, behind a filter of 2 ** 16 bits."""
+
+    def __init__(self, words: list[str]):
+        hashes = np.array([word_hash(w) for w in words], np.uint64)
+        self.order = np.argsort(hashes)
+        self.hashes, self.seen = hashes[self.order], np.zeros(1 << 16, bool)
+        self.seen[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of those that are words of the table, and which."""
+        at = np.flatnonzero(self.seen[(hashes >> np.uint64(48)).astype(np.int64)])
+        row = np.searchsorted(self.hashes, hashes[at])
+        same = row < len(self.hashes)
+        same[same] = self.hashes[row[same]] == hashes[at][same]
+        return at[same], self.order[row[same]]
 
 
 @dataclass
@@ -37,30 +76,94 @@ class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
 
+    @cached_property
+    def _known(self) -> tuple[_Table, np.ndarray, np.ndarray, np.ndarray]:
+        every = sorted({*self.words, *SEED_WORDS, *SECOND})
+        column = lambda f, kind: np.array([f(w) for w in every], kind)
+        return _Table(every), column(lambda w: self.words.get(w, 0.0), float), column(SEED_WORDS.__contains__, bool), column(SECOND.__contains__, bool)
+
+    @cached_property
+    def _known_stems(self) -> tuple[_Table, np.ndarray]:
+        every = sorted(self.stems)
+        return _Table(every), np.array([self.stems[s] for s in every])
+
     def features(self, text: str) -> list[float]:
-        words = _WORD.findall(text.lower())
-        n = max(1, len(words))
-        distinct = set(words)
-        seeds = SEED_WORDS & distinct
-        known = self.words.keys() & distinct
-        stems = self.stems.keys() & {w[:STEM] for w in distinct if len(w) > STEM}
-        hits = seeds | {w for w in known if self.words[w] > 1}
-        at = [i for i, w in enumerate(words) if w in hits] if hits else []
-        near = sum(1 for i in at if not SECOND.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]))
-        masked = [m.rstrip("!*#").lower().translate(_PLAIN) for m in _MASKED.findall(text)]
-        unmasked = sum(m in SEED_WORDS or self.words.get(m, 0) > 1 for m in masked)
-        spelled = [re.sub(r"[ .\-]", "", m).lower() for m in _SPELLED.findall(text)]
-        weights = sorted((self.words[w] for w in known), reverse=True)
-        stem_weights = sorted((self.stems[s] for s in stems), reverse=True)
-        return [
-            len(at) / n, len(seeds), len(seeds) / max(1, len(distinct)), sum(weights) / max(1, len(distinct)), weights[0] if weights else 0.0, sum(weights[:5]),
-            sum(stem_weights) / max(1, len(distinct)), stem_weights[0] if stem_weights else 0.0, sum(stem_weights[:5]),
-            sum(w in SECOND for w in distinct), near / n, near / max(1, len(at)),
-            len(masked) / n, unmasked, sum(w in SEED_WORDS or self.words.get(w, 0) > 1 for w in spelled), len(spelled) / n, len(_STRETCHED.findall(text)) / n,
-        ]
-
-
-N_LEXICAL = len(Lexicon().features(""))
+        data, offsets = text_bytes(pa.array([text]))
+        return self.lexical(data, offsets, dense_stats(data, offsets))[0].tolist()
+
+    def lexical(self, data: np.ndarray, offsets: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """A row of figures per text, all texts at once and in time that is linear in their bytes, whatever they
+        hold. Words are runs of letters and of what is beyond ASCII, A-Z lower-cased. dense: their dense_stats()."""
+        texts = len(offsets) - 1
+        count = lambda owner: np.bincount(owner, minlength=texts).astype(np.float64)
+        words = words_of(data, offsets, ~_LETTER)
+        n, distinct = np.maximum(1, np.diff(words.first)), np.maximum(1, np.rint(np.expm1(dense[:, 0]) * dense[:, 2]))
+        table, weight, seed, second = self._known
+        insult = seed | (weight > 1)
+        at, row = table.find(words.hashes)
+        owner = np.searchsorted(words.first, at, "right") - 1
+        # Insults, and those near to a second person.
+        sofar = np.zeros(len(words.hashes) + 1, np.int32)
+        sofar[at[second[row]] + 1] = 1
+        sofar = np.cumsum(sofar)
+        hit, of = at[insult[row]], owner[insult[row]]
+        hits = count(of)
+        near = count(of[sofar[np.minimum(words.first[of + 1], hit + NEAR + 1)] > sofar[np.maximum(words.first[of], hit - NEAR)]])
+        own, row = np.divmod(np.unique(owner * len(weight) + row), len(weight))
+        seeds, seconds, learned = count(own[seed[row]]), count(own[second[row]]), weight[row] > 0
+        total, most, five = _top(texts, own[learned], weight[row[learned]])
+        stem_table, stem_weight = self._known_stems
+        long = np.flatnonzero(words.end - words.start > STEM)
+        at, row = stem_table.find(span_hashes(LOWER[data], words.start[long], words.start[long] + STEM))
+        own, row = np.divmod(np.unique((np.searchsorted(words.first, long[at], "right") - 1) * max(1, len(stem_weight)) + row), max(1, len(stem_weight)))
+        stem_total, stem_most, stem_five = _top(texts, own, stem_weight[row])
+        # Masked words: runs of letters and marks in which a letter follows a mark.
+        start, end = runs_of((_ASCII_LETTER | _MARK)[data], offsets)
+        turns = np.flatnonzero(_MARK[data[:-1]] & _ASCII_LETTER[data[1:]])
+        masked = np.searchsorted(turns, start) < np.searchsorted(turns, end - 1)
+        start, end = start[masked], end[masked]
+        masks = count(np.searchsorted(offsets, start, "right") - 1)
+        start, end = start[end - start <= LONGEST], end[end - start <= LONGEST]
+        for _ in range(LONGEST):
+            trailing = _TRAIL[data[end - 1]]
+            if not trailing.any():
+                break
+            end = end - trailing  # a letter is left in any case
+        at, row = table.find(span_hashes(_PLAIN[data], start, end))
+        unmasked = count(np.searchsorted(offsets, start[at[insult[row]]], "right") - 1)
+        # Spelled words: four or more single letters with one joint between each two.
+        start, end = words.start, words.end
+        digit, bound = np.zeros(len(data) + 2, bool), np.zeros(len(data) + 1, bool)
+        digit[1:-1], bound[offsets] = _DIGIT[data], True
+        single = (end - start == 1) & ~(digit[start] & ~bound[start]) & ~(digit[end + 1] & ~bound[end])  # no digit before or after
+        i = np.flatnonzero(single[:-1] & single[1:])
+        i = i[start[i + 1] == start[i] + 2]
+        i = i[_JOINT[data[start[i] + 1]] & (np.searchsorted(offsets, start[i], "right") == np.searchsorted(offsets, start[i + 1], "right"))]
+        breaks = np.flatnonzero(np.diff(i) != 1)
+        head, tail = (i[np.concatenate([[0], breaks + 1])], i[np.concatenate([breaks, [len(i) - 1]])] + 1) if len(i) else (i, i)
+        head, tail = head[tail - head >= 3], tail[tail - head >= 3]
+        spelled = count(np.searchsorted(words.first, head, "right") - 1)
+        head, tail = head[tail - head < LONGEST], tail[tail - head < LONGEST]
+        letters = tail - head + 1
+        ends = np.cumsum(letters)
+        flat = LOWER[data[start[np.repeat(head, letters) + np.arange(letters.sum()) - np.repeat(ends - letters, letters)]]]
+        at, row = table.find(span_hashes(flat, ends - letters, ends))
+        spelled_hits = count(np.searchsorted(words.first, head[at[insult[row]]], "right") - 1)
+        # Runs of three and more of a letter.
+        same = (data[1:] == data[:-1]) & _ASCII_LETTER[data[1:]]
+        same[offsets[(offsets > 0) & (offsets < len(data))] - 1] = False
+        runs = same[1:] & same[:-1]
+        runs[1:] &= ~same[:-2]
+        stretched = count(np.searchsorted(offsets, np.flatnonzero(runs), "right") - 1)
+        return np.stack([
+            hits / n, seeds, seeds / distinct, total / distinct, most, five,
+            stem_total / distinct, stem_most, stem_five,
+            seconds, near / n, near / np.maximum(1, hits),
+            masks / n, unmasked, spelled_hits, spelled / n, stretched / n,
+        ], axis=1)
+
+
+N_FEATURES = len(Lexicon().features("")) + len(NAMES)
 
 
 @dataclass
@@ -152,8 +255,9 @@ class ToxicityModel:
 
 
 def matrix(lexicon: Lexicon, column: pa.Array) -> np.ndarray:
-    dense = dense_stats(*text_bytes(column))
-    return np.concatenate([np.array([lexicon.features(t or "") for t in column.to_pylist()], np.float64).reshape(-1, N_LEXICAL), dense], axis=1)
+    data, offsets = text_bytes(column)
+    dense = dense_stats(data, offsets)
+    return np.concatenate([lexicon.lexical(data, offsets, dense), dense], axis=1)
 
 
 def _scores(model, keep: tuple[str, ...]):
@@ -171,20 +275,21 @@ def _terms(batches):
     for batch in batches:
         kind, term, y, half = [], [], [], []
         for text, label, h in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), batch.column("half").to_pylist(), strict=True):
-            distinct = set(_WORD.findall((text or "").lower()))
-            own = [(0, w) for w in distinct if len(w) < 64] + [(1, s) for s in {w[:STEM] for w in distinct if len(w) > STEM}]
+            distinct = set(_WORD.findall((text or "").encode().lower()))
+            own = [(0, w) for w in distinct if len(w) < LONGEST] + [(1, s) for s in {w[:STEM] for w in distinct if len(w) > STEM}]
             kind += [k for k, _ in own]
             term += [t for _, t in own]
             y += [label] * len(own)
             half += [h] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(term, pa.string()), pa.array(y, pa.int32()), pa.array(half, pa.int32())], ["kind", "term", "y", "half"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(term, pa.binary()), pa.array(y, pa.int32()), pa.array(half, pa.int32())], ["kind", "term", "y", "half"])
 
 
 def _learn_lexicons(sample: DataFrame) -> list[Lexicon]:
     """Lexicons of the sample's first half, second half and whole: at most TERMS words and stems each."""
-    counts = sample.mapInArrow(_terms, "kind int, term string, y int, half int").groupBy("kind", "term").agg(
+    counts = sample.mapInArrow(_terms, "kind int, term binary, y int, half int").groupBy("kind", "term").agg(
         *[F.count(F.when((F.col("y") == y) & (F.col("half") == h), 1)).cast("double").alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)]
     )
+    counts = cut(counts.where("n10 + n11 >= 3"), "toxicity-terms")
     sizes = {(r["y"], r["half"]): r["count"] for r in sample.groupBy("y", "half").count().collect()}
     out = []
     for halves in ((0,), (1,), (0, 1)):
@@ -194,7 +299,9 @@ def _learn_lexicons(sample: DataFrame) -> list[Lexicon]:
         weight = F.log((t1 + 0.5) / (n1 + 1) / ((t0 + 0.5) / (n0 + 1))) - 1 / F.sqrt(t1 + 0.01)
         rows = counts.where(t1 >= 3).select("kind", "term", weight.alias("w")).where("w > 0.5")
         rows = [r for k in (0, 1) for r in rows.where(F.col("kind") == k).orderBy(F.desc("w"), "term").limit(TERMS).collect()]
-        out.append(Lexicon({r["term"]: r["w"] for r in rows if r["kind"] == 0}, {r["term"]: r["w"] for r in rows if r["kind"] == 1}))
+        text = lambda term: bytes(term).decode("utf-8", "surrogateescape")  # noqa: E731  a stem may end within a character
+        out.append(Lexicon({text(r["term"]): r["w"] for r in rows if r["kind"] == 0}, {text(r["term"]): r["w"] for r in rows if r["kind"] == 1}))
+    discard(counts)
     return out
 
 
@@ -203,33 +310,45 @@ def _fit_features(lexicons):
         own = lexicons.value
         for batch in batches:
             for part in steps(batch, "text"):
-                halves = part.column("half").to_pylist()
-                # A text's own half has not seen its label.
-                x = [matrix(own[1 - h], part.column("text").slice(i, 1))[0] for i, h in enumerate(halves)]
-                yield pa.RecordBatch.from_arrays([part.column("y"), part.column("pick"), pa.array(x, pa.list_(pa.float64()))], ["y", "pick", "x"])
+                # A text's own half has not seen its label, nor has any lexicon seen those of the calibration.
+                half, pick = (part.column(c).to_numpy() for c in ("half", "pick"))
+                which = np.where(pick == 0, 2, 1 - half)
+                x = np.zeros((part.num_rows, N_FEATURES))
+                for w in np.unique(which):
+                    x[which == w] = matrix(own[w], part.column("text").filter(pa.array(which == w)))
+                yield pa.RecordBatch.from_arrays([part.column("y"), part.column("pick"), pa.array(list(x), pa.list_(pa.float64()))], ["y", "pick", "x"])
 
     return run
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
     """A model learned from up to fit_rows labelled documents outside of the held-out fold; None
-    where they don't show both labels. Each half of them is given the other half's lexicon, so the
-    trees never see a lexicon that knew their labels; a quarter is kept for the calibration."""
+    where they don't show both labels. Of several rows with an id, one text counts, chosen by its hash.
+
+    A quarter is kept for the calibration and no lexicon sees its labels, so it is scored as new texts are. The
+    halves of the rest are given each other's lexicon, so the trees never see one that knew their labels."""
     spark = docs.sparkSession
     ship(spark)
     chosen = labelled_sample(labels, label_col, id_col, folds, held, fit_rows)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    sample = sample.groupBy("id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
     sample = cut(sample.select("text", "y", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("half"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4)).cast("int").alias("pick")), "toxicity-sample")
-    lexicons = _learn_lexicons(sample)
-    shared = spark.sparkContext.broadcast(lexicons)
-    rows = sample.mapInArrow(_fit_features(shared), "y int, pick int, x array<double>").limit(2 * fit_rows).collect()
-    if not {0, 1} <= {r["y"] for r in rows}:
+    shown = {(r["y"], r["kept"]) for r in sample.groupBy("y", (F.col("pick") == 0).alias("kept")).count().collect()}
+    if not {0, 1} <= {y for y, _ in shown}:
+        discard(sample)
         return None
+    if not {(0, True), (1, True), (0, False), (1, False)} <= shown:  # too few to keep any back
+        sample = sample.withColumn("pick", F.lit(1))
+    lexicons = _learn_lexicons(sample.where("pick <> 0"))
+    shared = spark.sparkContext.broadcast(lexicons)
+    rows = sample.repartition(SPREAD).mapInArrow(_fit_features(shared), "y int, pick int, x array<double>").collect()  # fit_rows at most
     rows.sort(key=lambda r: (r["pick"], r["y"], r["x"]))
     x, y, pick = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], np.float64), np.array([r["pick"] for r in rows])
-    fit = pick != 0 if {0.0, 1.0} <= set(y[pick != 0]) and {0.0, 1.0} <= set(y[pick == 0]) else np.ones(len(y), bool)
+    fit = pick != 0
     rest = ~fit if (~fit).any() else fit
     trees = fit_trees(x[fit], y[fit])
+    shared.unpersist()
+    discard(sample)
     return ToxicityModel(lexicons[2], trees, fit_isotonic(trees.margin(x[rest]), y[rest]))
 
 
@@ -238,7 +357,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
 
     Only features of whole texts go in: densities of insults (given ones and words and stems learned
     from labels outside the held-out fold), how many stand near a second person, capitals, punctuation
-    and obfuscation. Null and empty texts have all features 0 and get that score; a null id counts as
+    and obfuscation. They are computed for batches of texts in time linear in their bytes, so a text of many
+    megabytes, of one word even, takes as long as short ones of that size. Null and empty texts have all features 0 and get that score; a null id counts as
     the empty text for the fold and has no label. Where the labels don't show both classes, the score
     is the share of given insults among the words, 20 times. Every row gives one row, repeated ones
     too; other columns are dropped.

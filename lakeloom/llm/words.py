@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0x100000001B3)
+_STEP = np.uint64(0xD1B54A32D192ED03)
+#: The lowest 0 to 8 bytes of a number.
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 #: Byte classes. SPACED: only \x20 and \x09-\x0D part words. PLAIN: so does ASCII that is neither letter nor digit.
 SPACED = np.zeros(256, bool)
@@ -70,31 +72,47 @@ class Words:
     end: np.ndarray
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = SPACED) -> Words:
-    n, texts = len(data), len(offsets) - 1
-    if not n:
-        none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(texts + 1, np.int64), none, none)
-    inside = ~parts[data]
-    edge = np.zeros(n + 1, bool)  # where a text begins, a word can't go on
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: its pieces of eight bytes, each mixed with its place, summed, and
+    mixed again with the length. Equal bytes give equal hashes wherever they stand; different ones, of any length,
+    give equal ones about once in 2 ** 64 pairs."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    length = end - start
+    pieces = np.maximum(1, (length + 7) >> 3)
+    first = np.cumsum(pieces) - pieces
+    place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    value = eight[np.repeat(start, pieces) + 8 * place] & _LOW[np.clip(np.repeat(length, pieces) - 8 * place, 0, 8)]
+    value = mix(value + (place + 1).astype(np.uint64) * _STEP)
+    return mix((np.add.reduceat(value, first) if len(value) > len(start) else value) + length.astype(np.uint64) * _ODD)
+
+
+def word_hash(word: str) -> np.uint64:
+    """The hash that words_of() gives a word."""
+    data = LOWER[np.frombuffer(word.encode("utf-8", "surrogateescape"), np.uint8)]
+    return span_hashes(data, np.array([0]), np.array([len(data)]))[0]
+
+
+def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where maximal runs of marked bytes begin and end; a text's end ends a run."""
+    edge = np.zeros(len(inside) + 1, bool)
     edge[offsets] = True
-    begins = inside.copy()
+    begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1] | edge[1:-1]
-    ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:-1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    if not len(start):
-        none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(texts + 1, np.int64), none, none)
-    # A word's hash: the sum of mixed (byte, place in the word), wrapped, and its length.
-    length = end - start
-    at = np.flatnonzero(inside)
-    place = at - np.repeat(start, length)
-    low = int(place.max()) + 1
-    powers = np.cumprod(np.full(min(low, 1 << 20), _BASE, np.uint64)) if low > 1 else np.full(1, _BASE, np.uint64)
-    value = (LOWER[data[at]].astype(np.uint64) + np.uint64(1)) * powers[place % len(powers)]
-    sums = np.add.reduceat(value, np.concatenate([[0], np.cumsum(length)[:-1]]))
-    return Words(mix(sums + length.astype(np.uint64) * _ODD), np.searchsorted(start, offsets), start, end)
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = SPACED) -> Words:
+    """Words of any length: a text that is one word of many megabytes is one word."""
+    if len(data):
+        start, end = runs_of(~parts[data], offsets)
+        if len(start):
+            return Words(span_hashes(LOWER[data], start, end), np.searchsorted(start, offsets), start, end)
+    none = np.zeros(0, np.int64)
+    return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none)
 
 
 def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
