@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, ship, uniform
+from lakeloom.llm.common import cut, discard, ship, uniform
 from lakeloom.llm.stats import NAMES, dense_stats
 from lakeloom.llm.words import steps, text_bytes
 
 #: Documents of each kind, trusted positive and unlabelled, that the model is fitted on.
 FIT_ROWS = 8_000
+#: Parts, rounds and least share of positives above a threshold, for the estimate of the class prior.
+PRIOR_PARTS, PRIOR_ROUNDS, PRIOR_SHARE = 2, 300, 0.8
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -74,6 +76,29 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: i
     return PuModel(mean, scale, theta[0], theta[1], theta[2], float(theta[3][0]))
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives in unlabelled rows, from trusted positives alone.
+
+    Above any threshold of a score, unlabelled rows are at least as many as their positives: so the share of them
+    there, over the share of trusted positives there, is no less than the prior, and about the prior where hardly
+    a negative is. That is the least such ratio; among thresholds that few rows are above, a margin for chance
+    keeps it from being lucky. Rows are scored by models that were fitted without them.
+    """
+    scores = [np.zeros(len(positive)), np.zeros(len(unlabelled))]
+    parts = [np.arange(len(s)) % PRIOR_PARTS for s in scores]
+    for k in range(PRIOR_PARTS):
+        model = fit_pu(positive[parts[0] != k], unlabelled[parts[1] != k], 0.5, rounds=PRIOR_ROUNDS)
+        for s, x, part in zip(scores, (positive, unlabelled), parts, strict=True):
+            s[part == k] = model.score(x[part == k])
+    p, u = (np.sort(s) for s in scores)
+    levels = np.unique(np.concatenate([p, u]))
+    above_p, above_u = (1 - np.searchsorted(s, levels) / len(s) for s in (p, u))
+    margin = sum(np.sqrt(np.log(40) / 2 / len(s)) for s in (p, u))
+    at = np.flatnonzero(above_p >= PRIOR_SHARE)
+    best = at[np.argmin((above_u[at] + margin) / above_p[at])]
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
 def _features(keep: tuple[str, ...]):
     def run(batches):
         for batch in batches:
@@ -111,33 +136,36 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
     """Quality of every document: id_col, held_out, score, predicted.
 
     The model learns from up to fit_rows trusted positives (label 1) and as many documents without
-    any label, both outside of the held-out fold, and from the class prior: the share of 1 among
-    the labels outside of that fold, over all of them. If every document has a label, unlabelled
-    text is a sample of all documents outside the fold. Only features of whole texts go in: never
-    ids, labels or other columns. Null and empty texts have all features 0 and get that score. Null
-    ids count as the empty text for the fold. Without positives or unlabelled text the score is the
-    prior, or 1 without labels. Every row gives one row; other columns are dropped.
+    any label, both outside of the held-out fold, and from a class prior that is estimated from
+    these two alone (see class_prior()): a label of 0 is never learned from. If nearly every document
+    has a label, unlabelled text is a sample of all documents outside the fold. Only features of whole
+    texts go in: never ids, labels or other columns. They are computed for batches of texts in time
+    linear in their bytes, however long one is. Null and empty texts have all features 0 and get that
+    score. Null ids count as the empty text for the fold. Without positives or unlabelled text the score
+    is the share of 1 among the labels outside of the fold, or 1 without labels. Every row gives one row;
+    other columns are dropped.
     """
     ship(docs.sparkSession)
-    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != held))
-    prior = usable.agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0]
-    prior = 1.0 if prior is None else float(prior)
     rows = docs.select(F.col(id_col).alias("_id"), fold(id_col, folds).alias("_fold"), F.col(text_col).alias("text"))
     trusted = labelled_sample(labels, label_col, id_col, folds, held, fit_rows, "y = 1")
     # Unlabelled text: about fit_rows documents by hash, of which those with a label go.
     total = docs.count()
     some = rows.where((F.col("_fold") != held) & F.col("_id").isNotNull() & (uniform(F.col("_id"), seed=5) * max(1, total) < 3 * fit_rows))
     known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
-    marked = some.join(known.withColumn("_known", F.lit(1)), "_id", "left").select(F.coalesce("_known", F.lit(0)).alias("kind"), "text")
-    chosen = rows.join(F.broadcast(trusted.select(F.col("id").alias("_id"))), "_id").select(F.lit(2).alias("kind"), "text")
-    sample = cut(chosen.unionByName(marked).mapInArrow(_features(("kind",)), "kind int, x array<double>"), "quality-sample")
-    take = lambda *kinds: np.array([r["x"] for r in sample.where(F.col("kind").isin(*kinds)).orderBy(F.xxhash64("x")).limit(fit_rows).collect()]).reshape(-1, len(NAMES))
+    marked = some.join(known.withColumn("_known", F.lit(1)), "_id", "left").select(F.xxhash64("_id", F.lit(6)).alias("draw"), F.coalesce("_known", F.lit(0)).alias("kind"), "text")
+    chosen = rows.join(F.broadcast(trusted.select(F.col("id").alias("_id"))), "_id").select(F.xxhash64("_id", F.lit(6)).alias("draw"), F.lit(2).alias("kind"), "text")
+    sample = cut(chosen.unionByName(marked).mapInArrow(_features(("draw", "kind")), "draw long, kind int, x array<double>"), "quality-sample")
+    # Drawn by id: equal texts are as many in the sample as they are in the corpus.
+    take = lambda *kinds: np.array([r["x"] for r in sample.where(F.col("kind").isin(*kinds)).orderBy("draw", "x").limit(fit_rows).select("x").collect()]).reshape(-1, len(NAMES))
     positive, unlabelled = take(2), take(0)
     if len(unlabelled) < max(50, len(positive) // 20):
         unlabelled = take(0, 1)
-    if len(positive) and len(unlabelled):
-        model = fit_pu(positive, unlabelled, prior)
+    discard(sample)
+    if len(positive) >= PRIOR_PARTS and len(unlabelled) >= PRIOR_PARTS:
+        model = fit_pu(positive, unlabelled, class_prior(positive, unlabelled))
         scored = rows.mapInArrow(_scores(model, ("_id", "_fold")), f"_id {dict(rows.dtypes)['_id']}, _fold long, score double")
     else:
-        scored = rows.select("_id", "_fold", F.lit(prior).alias("score"))
+        usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != held))
+        share = usable.agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0]
+        scored = rows.select("_id", "_fold", F.lit(1.0 if share is None else float(share)).alias("score"))
     return scored.select(F.col("_id").alias(id_col), (F.col("_fold") == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
