@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 import lakeloom
 
-#: A side with at most this many rows (of a few short columns) is broadcast.
-BROADCAST_ROWS = 100_000
+#: A side with at most this many rows and bytes is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
+#: A key with more than this share of the rows, and more than this many, is joined apart from the others.
+HOT_SHARE, HOT_ROWS = 1000, 4096
 #: Any number that a long holds is halved away in as many steps.
 DOUBLINGS = 64
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _own: dict[str, str] = {}
+_folders: set[str] = set()
 _shipped: set[str] = set()
 
 
@@ -29,13 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local
-    session gets a temporary folder of its own and a cluster the warehouse."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a
+    temporary folder of its own; a cluster has no folder that can be taken for shared, so it is an error there."""
     conf = spark.sparkContext.getConf()
     if found := conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lakeloom"
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         path = tempfile.mkdtemp(prefix="lakeloom-")
@@ -44,6 +47,24 @@ def scratch(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder. It goes when the driver's process ends."""
+    app = spark.sparkContext.applicationId
+    path = f"{scratch(spark)}/lakeloom/{app}"
+    if app not in _folders:
+        _folders.add(app)
+        atexit.register(_delete, spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), path)
+    return path
+
+
+def _delete(jvm, conf, path: str) -> None:
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # noqa: BLE001  at the end of the process the JVM may be gone before
+        return
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once a session: they may not have it on their path."""
     sc, package = spark.sparkContext, Path(lakeloom.__file__).parent
@@ -59,7 +80,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/lakeloom/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -113,18 +134,34 @@ def uniform(*keys: Column, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: str, salt_by: Column, rows: int, how: str = "left", salts: int = 64) -> DataFrame:
-    """Join a side with unique keys of `rows` rows to one where a key may hold most rows.
+def spread_join(big: DataFrame, small: DataFrame, on: str, salt_by: Column, rows: int, how: str = "left", salts: int = 64, size: int = 0) -> DataFrame:
+    """Join a side with unique keys, of `rows` rows and `size` bytes (0: rows of a few numbers), to one
+    where a key may hold most rows.
 
-    Few rows are broadcast. More are copied once per salt, so that a hot key of the other
+    Few rows and bytes are broadcast. More are copied once per salt, so that a hot key of the other
     side is dealt over `salts` tasks.
     """
-    if rows <= BROADCAST_ROWS:
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
     small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(small, [on, "_salt"], how).drop("_salt")
 
 
+def skew_join(big: DataFrame, small: DataFrame, on: str | list[str], rows: int, how: str = "inner") -> DataFrame:
+    """Join a side with unique keys to one of `rows` rows where a key may hold most of them.
+
+    Keys of more than a thousandth of the rows, a thousand at most, are counted out and meet a broadcast of their
+    rows of `small`, without a shuffle; the others meet in one. Both sides should be stored tables, since
+    `big` is read three times.
+    """
+    on = [on] if isinstance(on, str) else on
+    hot = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(HOT_ROWS, rows // HOT_SHARE)).drop("_n")
+    apart = F.broadcast(small.join(F.broadcast(hot), on, "left_semi"))
+    if how == "left":
+        apart = F.broadcast(hot.join(small, on, "left"))
+    return big.join(F.broadcast(hot), on, "left_anti").join(small, on, how).unionByName(big.join(apart, on))
+
+
 def ranked(df: DataFrame, key: str, order: list[Column], rows: int, spread: Column, block: int = 20_000, name: str = "rank") -> DataFrame:
     """A gapless rank from 0 within `key`, in order of (block, order).
 
@@ -149,8 +186,9 @@ def _roots(edges: DataFrame, name: str) -> DataFrame:
     is smaller than itself, and the root is where that leads."""
     hung = edges.select(F.col("b").alias("node"), F.col("a").alias("to")).union(edges.select("a", F.col("a").alias("to")))
     up = cut(hung.groupBy("node").agg(F.min("to").alias("root")), f"{name}-0")
+    nodes = up.count()
     for k in range(1, DOUBLINGS + 1):
-        new = cut(up.join(up.toDF("_node", "_root"), F.col("root") == F.col("_node")).select("node", F.col("_root").alias("root"), (F.col("_root") != F.col("root")).alias("changed")), f"{name}-{k}")
+        new = cut(skew_join(up.select("node", "root"), up.toDF("root", "_root"), "root", nodes).select("node", F.col("_root").alias("root"), (F.col("_root") != F.col("root")).alias("changed")), f"{name}-{k}")
         discard(up)
         changed = new.where("changed").limit(1).count()
         up = new.select("node", "root")
@@ -173,14 +211,15 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     left = cut(between("a", "b", edges), f"{name}-edges")
     labels = None
     for k in range(2 * DOUBLINGS):
-        up = _roots(left, f"{name}-{k}")
+        up, n = _roots(left, f"{name}-{k}"), left.count()
         if labels is None:
-            labels = up.toDF("node", "component")
+            labels, nodes = up.toDF("node", "component"), up.count()
             labels._lakeloom_path = up._lakeloom_path
         else:
-            old, labels = labels, cut(labels.join(up.toDF("_node", "_root"), F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_root", "component").alias("component")), f"{name}-labels{k}")
-        ends = left.join(up.toDF("a", "_a"), "a").join(up.toDF("b", "_b"), "b")
-        new = cut(between("_a", "_b", ends), f"{name}-edges{k}")
+            old, labels = labels, cut(skew_join(labels, up.toDF("component", "_root"), "component", nodes, "left").select("node", F.coalesce("_root", "component").alias("component")), f"{name}-labels{k}")
+        half = cut(skew_join(left, up.toDF("a", "_a"), "a", n).select("_a", "b"), f"{name}-half{k}")
+        new = cut(between("_a", "_b", skew_join(half, up.toDF("b", "_b"), "b", n)), f"{name}-edges{k}")
+        discard(half)
         discard(left, *([old, up] if k else []))
         left = new
         if not left.limit(1).count():

@@ -1,0 +1,119 @@
+"""Hot bands and loose groups: no link is lost, whatever is dealt where."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from brute import near_groups
+from lakeloom.llm import minhash
+from lakeloom.llm.minhash import cross_links, drop_near_duplicates, near_duplicates
+from lakeloom.llm.words import mix, shingle_sets, text_bytes, words_of
+
+
+def find_all(n, pairs):
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(n)]
+
+
+def test_a_link_past_a_leader_is_kept():
+    """x stands near L, of which there are many; y is linked to x at exactly 0.8, not to L."""
+    pool = mix(np.arange(1, 60_000, dtype=np.uint64))
+    y, x, lead = pool[:1250], pool[:1000], pool[:910]
+    rng = np.random.default_rng(2)
+    others = [pool[2000 + 40 * i : 2000 + 40 * i + int(rng.integers(900, 1260))] for i in range(1100)]
+    sets = [np.sort(s) for s in [lead] * 600 + [x] + others + [y]]
+    sketch, n = minhash.sketches_of(minhash.signatures(sets)), [len(s) for s in sets]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(sets)), pa.array(range(len(sets))), pa.array(n), pa.array([s.tobytes() for s in sketch], pa.binary())], ["band", "node", "n", "sketch"])
+    pairs = [(a, b) for out in minhash._band_edges(0.8)(batch.slice(i, 700) for i in range(0, len(sets), 700)) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+    part = find_all(len(sets), pairs)
+    assert part[600] == part[len(sets) - 1] and len(pairs) < len(sets)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_leaders_stand_for_all_behind_them(monkeypatch, seed):
+    """Members dealt over groups, reduced, and the leaders paired: all that may be linked is connected."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = np.random.default_rng(seed)
+    bits = np.zeros((120, minhash._SKETCH_WORDS * 64), np.uint8)
+    centers = rng.integers(0, 2, (5, 2 * minhash.PERMS), np.uint8)
+    for i in range(len(bits)):
+        own = centers[rng.integers(5)].copy()
+        own[rng.choice(len(own), int(rng.integers(0, 45)), replace=False)] ^= 1
+        bits[i, : len(own)] = own
+    sketch, size = np.packbits(bits, axis=1).view(np.uint64), rng.integers(80, 125, 120)
+    every = minhash.Members(np.arange(120), size, size, np.zeros(120, np.int64), sketch)
+    pairs, left = [], []
+    for salt in range(4):
+        found, lead = minhash.reduce_band(every.take(np.arange(salt, 120, 4)), 0.8)
+        pairs, left = pairs + found, [*left, lead]
+    found, lead = minhash.reduce_band(minhash._together(left), 0.8)
+    part = find_all(120, pairs + found)
+    near = (minhash._differ(sketch, sketch) <= 48) & (np.minimum(size[:, None], size[None, :]) >= 0.8 * np.maximum(size[:, None], size[None, :]))
+    assert all(part[i] == part[j] for i, j in np.argwhere(near).tolist())
+    assert len(lead) < 120
+
+
+def family(seed, n):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    docs = []
+    for i in range(n):
+        w = list(base)
+        for p in rng.sample(range(150), rng.choice([0, 1, 1, 2, 3, 4, 9])):
+            w[p] = f"w{rng.randrange(500)}"
+        docs.append((i, " ".join(w)))
+    return docs
+
+
+def test_hot_bands_are_dealt_over_tasks(spark, monkeypatch):
+    docs = family(3, 260)
+    want = near_groups(docs, 5)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SAMPLE", 1)
+    calls, by_band = [], minhash._by_band
+    monkeypatch.setattr(minhash, "_by_band", lambda *a: calls.append(a) or by_band(*a))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = near_duplicates(df, k=5).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len(calls) >= 3 and len({c for _, c in want.values()}) > 1
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_links_of_a_loose_group(spark, monkeypatch, block):
+    """All share most of a text, too little for a link; only a few pairs are linked."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(100)]
+    docs = [(i, " ".join(common + [f"r{rng.randrange(10**6)}" for _ in range(60)])) for i in range(60)]
+    docs += [(60 + i, " ".join(docs[i][1].split()[:-3])) for i in range(8)]
+    want = near_groups(docs, 4)
+    sets = shingle_sets(words_of(*text_bytes(pa.array([t for _, t in docs]))), 4)
+    sketch = [bytearray(s.tobytes()) for s in minhash.sketches_of(minhash.signatures(sets))]
+    rows = [(7, i, i, i % 60 < 30, want[i][0], sketch[i], t) for i, t in docs]
+    rows = spark.createDataFrame(rows, "component long, part long, node long, out boolean, n long, sketch binary, text string")
+    part = find_all(len(docs), [(r.a, r.b) for r in cross_links(rows, 4, 0.8).collect()])
+    assert part == [want[i][1] for i, _ in docs]
+    # Texts go to blocks for those alone that have a rare shingle in common.
+    assert {c for _, c in want.values() if c < 8} == set(range(8))
+
+
+def test_repeated_rows_are_one_and_ids_may_be_text(spark):
+    """A third of all rows is one row, ids are strings, and a text is one word of a megabyte."""
+    rows = [("same", "one row that comes very often in here", 1)] * 60 + [(f"d{i}", f"alone {i} " * 20, 2) for i in range(100)] + [("long", "x" * 1_000_000, 3), ("e", "", 4), (None, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _row int").repartition(5)
+    got = near_duplicates(df, k=5).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id == "same"} == {"same"} and all(r.kept for r in got)
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count("same") == 1 and sorted(map(str, ids)) == sorted({str(r[0]) for r in rows})
