@@ -8,11 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, discard, free_names, spread_join, uniform
+from lakeloom.llm.common import cut, discard, free_names, ranked, skew_join, spread_join, uniform
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A probability this near to 0 or 1 counts as integral.
 EPS = 1e-9
+#: Documents of a source, about, that may be taken once more or less to make up for what rounding missed.
+POOL = 96
+#: Documents of more than a 32nd of their source are rounded first, then those of more than a 1024th, then the others.
+STEP, STEPS = 32, 3
 
 
 def word_count(text: Column) -> Column:
@@ -54,7 +58,7 @@ def source_targets(items: DataFrame, weights: Sequence[float], cap: float, budge
 
 
 def _fold(rows: Column) -> Column:
-    """Pivotal rounding along an array of (id, size, p, u).
+    """Pivotal rounding along an array of (size, id, p, u), in order of size.
 
     A residual walks through the array. It and the next element exchange words until one of their
     two probabilities is 0 or 1; which of both ends is reached is drawn with the probabilities that
@@ -93,113 +97,145 @@ def _fold(rows: Column) -> Column:
     return F.aggregate(rows, start, step)
 
 
-def _root(rows: Column, base: Column, cap: int) -> Column:
-    """Round the few items of a source that are left, largest first: an array of (id, up).
+def _mend(rows: Column, want: Column, cap: int) -> Column:
+    """Changes (id, delta) of the copies of a few drawn documents, (class, hash, id, size, base, up) in order, that bring a
+    source within less than a document of what it wants more (or less, below 0).
 
-    Each goes up with the chance that the words still wanted have of the words still there, if the
-    items after it can make up for either outcome; so what is missed in the end is about the
-    smallest of them. Where one large item alone keeps the source from its target, further copies
-    of the others are taken (or given up), never more than `cap` of one. rows: an array of
-    (size, id, p, u), ordered; base: the whole copies that each has already.
+    First those that were rounded down (or up) are rounded the other way, large ones before small ones and in
+    random order among those of a size class, as long as that doesn't overshoot. Where more than a document of mean
+    size is missed after that, because one large document is most of a source, whole copies follow, from none to
+    `cap` of each. What is wanted is as often too much as too little, so chances stay about what they were.
     """
+    less, more = lambda w, x: -w + EPS >= x.size, lambda w, x: (w + EPS >= x.size) & (x.base < cap)
+    add = lambda acc, x, up: F.struct((acc.want - (up - x.up) * x.size).alias("want"), F.concat(acc.done, F.array(F.struct(x.id.alias("id"), x.size.alias("size"), x.base.alias("base"), x.up.alias("was"), up.cast("int").alias("up")))).alias("done"))
+    again = lambda acc, x, up: F.struct((acc.want - (up - x.up) * x.size).alias("want"), F.concat(acc.done, F.array(F.struct(x.id.alias("id"), (up - x.was).cast("int").alias("delta")))).alias("done"))
+
+    def flip(acc, x):
+        return add(acc, x, F.when((x.up == 0) & more(acc.want, x), 1).when((x.up == 1) & less(acc.want, x), 0).otherwise(x.up))
+
+    def whole(acc, x):
+        n = F.greatest(-(x.base + x.up), F.least(cap - x.base - x.up, F.round(acc.want / x.size).cast("int")))
+        return again(acc, x, x.up + F.when(far, n).otherwise(0))
 
-    def step(acc, x):
-        rest = acc.room - x.size
-        may_up, may_stay = acc.want >= x.size, acc.want <= rest
-        up = F.when(may_up & may_stay, x.u * acc.room < acc.want).when(may_up, True).when(may_stay, False).otherwise(acc.want * 2 >= x.size).cast("int")
-        return F.struct((acc.want - up * x.size).alias("want"), rest.alias("room"), F.concat(acc.done, F.array(F.struct(x.id.alias("id"), x.size.alias("size"), up.alias("up")))).alias("done"))
-
-    def mend(acc, x):
-        more = F.least(F.floor(acc.want / x.size), cap - base - x.up)
-        less = F.least(F.floor(-acc.want / x.size), base + x.up)
-        n = F.when(acc.want >= 0, more).otherwise(-less).cast("int")
-        return F.struct((acc.want - n * x.size).alias("want"), F.concat(acc.done, F.array(F.struct(x.id.alias("id"), (x.up + n).alias("up")))).alias("done"))
-
-    total = lambda f: F.aggregate(rows, F.lit(0.0), lambda a, x: a + f(x))
     none = lambda kind: F.expr(f"cast(array() as array<struct<{kind}>>)").alias("done")
-    start = F.struct(total(lambda x: x.p * x.size).alias("want"), total(lambda x: x.size).alias("room"), none("id:string,size:double,up:int"))
-    drawn = F.aggregate(rows, start, step)
-    return F.aggregate(drawn["done"], F.struct(drawn["want"].alias("want"), none("id:string,up:int")), mend, lambda acc: acc.done)
+    flipped = F.aggregate(rows, F.struct(want.alias("want"), none("id:string,size:double,base:int,was:int,up:int")), flip)
+    far = F.abs(flipped["want"]) * F.size(rows) > F.aggregate(rows, F.lit(0.0), lambda a, x: a + x.size)
+    done = F.aggregate(flipped["done"], F.struct(flipped["want"].alias("want"), none("id:string,delta:int")), whole, lambda acc: acc.done)
+    return F.filter(done, lambda x: x.delta != 0)
 
 
-def round_copies(items: DataFrame, cap: int = 3, block: int = 32, keep: int = 256, seed: int = 0) -> DataFrame:
-    """Whole numbers of copies of items (id, source, size, rate, n_docs): (id, up), to be added to
-    floor(rate): 0 or 1, but for what the root has to mend.
+def round_copies(items: DataFrame, block: int = 32, seed: int = 0) -> DataFrame:
+    """Fractions of copies of items (id, source, size, rate, count), rounded: (id, up), up 0 or 1, of those
+    whose rate isn't whole. count: about how many items the source has here.
 
-    The fractions of a source and a size class (a power of two) are rounded in blocks of about
-    `block` items. What a block can't round is one item, which goes up a level of the tree, where
-    `block` times fewer items stand. The one item of each class that is left at last, and about
-    `keep` items of every source that a hash chose to wait, meet in the source's root. Blocks are
-    made of small rows (id, size, p), however large a source is.
+    A source's fractions are rounded in blocks of about `block` items, drawn by hash. What a block can't round is one
+    item, which goes up a level of the tree, where `block` times fewer items stand; the last one of a source goes
+    up or down by its chance. So each step but that one keeps what a source takes as it was, and all keep every item's
+    mean. Blocks are made of small rows (size, id, p), however large a source is.
     """
     frac = F.col("rate") - F.floor("rate")
     todo = items.where((F.col("size") > 0) & (frac > EPS) & (frac < 1 - EPS))
-    todo = todo.select("id", "source", F.col("size").cast("double").alias("size"), frac.alias("p"), F.col("n_docs").cast("double").alias("left"), F.floor(F.log2("size")).alias("class"), F.floor("rate").cast("int").alias("base"))
-    waits = uniform(F.col("id"), seed=seed - 1) * F.col("left") < keep
-    rest, todo = todo.where(waits).drop("left"), todo.where(~waits)
+    todo = todo.select("id", "source", F.col("size").cast("double").alias("size"), frac.alias("p"), F.col("count").cast("double").alias("left"))
     done, level = [], 0
     while True:
         blocks = F.greatest(F.lit(1.0), F.ceil(F.col("left") / block))
         key = F.pmod(F.xxhash64("id", F.lit(seed + 17 * level)), blocks.cast("long"))
-        row = F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "size", "p", uniform(F.col("id"), seed=seed + 31 * level + 1).alias("u"))
-        folded = todo.groupBy("source", "class", "base", key.alias("_block"), blocks.alias("left")).agg(_fold(F.array_sort(F.collect_list(row))).alias("r"))
-        folded = cut(folded.select("source", "class", "base", "left", "r"), f"mix-level{level}")
+        row = F.struct("size", F.xxhash64("id", F.lit(seed)).alias("h"), "id", "p", uniform(F.col("id"), seed=seed + 31 * level + 1).alias("u"))
+        folded = todo.groupBy("source", key.alias("_block"), blocks.alias("left")).agg(_fold(F.array_sort(F.collect_list(row))).alias("r"))
+        folded = cut(folded.select("source", "left", "r"), f"mix-level{level}")
         done.append(folded.select(F.inline("r.done")))
-        todo = folded.where("r.id IS NOT NULL").select("r.id", "source", "r.size", "r.p", "left", "class", "base")
+        todo = folded.where("r.id IS NOT NULL").select("r.id", "source", "r.size", "r.p", "left")
         level += 1
         if todo.where("left > 1").limit(1).count() == 0:
             break
-    last = F.struct((-F.col("size")).alias("o"), F.xxhash64("id", F.lit(seed)).alias("h"), "id", "size", "p", uniform(F.col("id"), seed=seed - 2).alias("u"))
-    root = todo.drop("left").unionByName(rest).groupBy("source", "base").agg(F.array_sort(F.collect_list(last)).alias("rows"))
-    root = root.select(_root(F.col("rows"), F.col("base"), cap).alias("done"))
-    return reduce(DataFrame.unionByName, [*done, root.select(F.inline("done"))])
+    last = todo.select("id", (uniform(F.col("id"), seed=seed - 2) < F.col("p")).cast("int").alias("up"))
+    return reduce(DataFrame.unionByName, [*done, last])
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """How many copies of each document a mix takes: id_col, occ, source, size, source_size,
     target, rate, copies.
 
-    Sizes are words (maximal runs of anything but space and \\x09-\\x0D). Null and empty texts have
-    size 0 and take part with floor(rate) copies, which add nothing. A null source is a source of
-    its own and the last. Rows that repeat an id, null ids too, are told apart by `occ`, counted
-    from 0 in order of source, size and text; equal rows may change places. Nothing but hashes of
-    id and occ is drawn from, so reruns agree. An empty table gives an empty result; other columns
-    are dropped.
-    """
-    rows = cut(sized_rows(docs, id_col, text_col, source_col), "mix-rows")
-    targets = source_targets(rows, weights, cap, budget)
-    n_sources = targets.count()
-    rated = spread_join(rows.withColumn("_src", F.concat(F.lit("="), "source")).fillna({"_src": ""}), targets.withColumn("_src", F.concat(F.lit("="), "source")).fillna({"_src": ""}).drop("source"), "_src", F.struct("key", "occ"), n_sources, "inner")
-    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    rated = rated.withColumn("rate", rate).withColumn("id", F.concat_ws("#", "key", "occ")).drop("_src")
-    ups = round_copies(rated, int(cap), seed=seed)
-    out = rated.join(ups, "id", "left")
-    near = F.col("rate") - F.floor("rate") >= 1 - EPS
-    copies = F.floor("rate") + F.coalesce("up", F.when(near, 1).otherwise(0))
-    return out.select(F.col("_id").alias(id_col), "key", "occ", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
-
-
-def id_key(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    Sizes are words (maximal runs of anything but space and \\x09-\\x0D), of whole texts however long. Null and empty
+    texts have size 0 and take part with floor(rate) copies, which add nothing. A null source is a source of
+    its own and the last. Rows that are equal in id, source and text, with null ids too, are told apart by `occ`,
+    counted from 0; they may change places. Nothing but hashes of these is drawn from, so reruns agree. An
+    empty table gives an empty result; other columns are dropped.
 
+    Copies are rounded by pivotal steps in a tree (round_copies()); about POOL documents of each source then make up
+    for the one that was left over (_mend()).
+    """
+    rows = numbered(cut(sized_rows(docs, id_col, text_col, source_col), "mix-rows"))
+    return _mixed(rows, weights, cap, budget, seed).select(F.col("_id").alias(id_col), "occ", "source", "size", "source_size", "target", "rate", "copies")
 
-def sized_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Small rows (key, _id, occ, source, size) of the documents; no text is shuffled."""
-    rows = docs.select(F.col(id_col).alias("_id"), id_key(id_col).alias("key"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_text"))
-    occ = F.row_number().over(Window.partitionBy("key").orderBy("source", "size", "_text")) - 1
-    return rows.withColumn("occ", occ).drop("_text")
 
+def _mixed(rows: DataFrame, weights: Sequence[float], cap: float, budget: float | None, seed: int) -> DataFrame:
+    """The rows with source_size, target, rate and copies.
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    Large documents are rounded first. What they take more or less than their part changes the rate of the smaller
+    ones, which are rounded next: the mean of each stays as it was, and what is missed at last is the last
+    small document's.
+    """
+    targets = source_targets(rows, weights, cap, budget)
+    n_sources, n_bytes = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
+    # A key that is never null.
+    keyed = lambda df: df.withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    meet = lambda df, small: spread_join(df, small, "source", F.col("row"), n_sources, "inner", size=n_bytes)
+    size = F.col("size")
+    step = sum(((size * STEP**k <= F.col("source_size")).cast("int") for k in range(1, STEPS)), F.lit(0))
+    known = cut(meet(keyed(rows.withColumn("_source", F.col("source"))), keyed(targets)).withColumn("id", F.concat_ws("#", "hash", "occ")).withColumn("step", step), "mix-known")
+    there = {r["step"] for r in known.select("step").distinct().collect()}
+    state = keyed(targets).select("source", F.col("target").alias("want"), F.col("source_size").cast("double").alias("mass"))
+    drawn = []
+    for k in sorted(there):
+        rate = F.when(F.col("mass") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), F.col("want") / F.col("mass")))).otherwise(0.0)
+        own = meet(known.where(F.col("step") == k), state).withColumn("rate", rate).drop("want", "mass").withColumn("count", F.least(F.col("n_docs"), F.lit(STEP ** (k + 1) if k < STEPS - 1 else 2**62)))
+        frac = F.col("rate") - F.floor("rate")
+        own = own.join(round_copies(own, seed=seed + 101 * k), "id", "left").withColumn("base", F.floor("rate").cast("int")).withColumn("up", F.coalesce("up", (frac >= 1 - EPS).cast("int")))
+        own = cut(own, f"mix-drawn{k}")
+        drawn.append(own)
+        spent = own.groupBy("source").agg(F.sum((F.col("base") + F.col("up")) * size).alias("spent"), F.sum("size").alias("gone"))
+        state = cut(state.join(spent, "source", "left").select("source", (F.col("want") - F.coalesce("spent", F.lit(0))).alias("want"), (F.col("mass") - F.coalesce("gone", F.lit(0))).alias("mass")), f"mix-state{k}")
+    if not drawn:
+        return known.withColumns({"source": F.col("_source"), "rate": F.lit(0.0), "copies": F.lit(0).cast("long")})
+    every = reduce(DataFrame.unionByName, drawn)
+    pool = every.where((size > 0) & (uniform(F.col("id"), seed=seed - 1) * F.col("n_docs") < POOL))
+    row = F.struct((-F.floor(F.log2("size"))).alias("class"), F.xxhash64("id", F.lit(seed - 3)).alias("h"), "id", size.cast("double").alias("size"), "base", "up")
+    pool = pool.groupBy("source").agg(F.array_sort(F.collect_list(row)).alias("rows")).join(state, "source")
+    mends = cut(pool.select(F.inline(_mend(F.col("rows"), F.col("want"), int(cap)))), "mix-mends")
+    out = spread_join(every, mends, "id", F.col("row"), mends.count(), salts=1)
+    first = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    return out.withColumns({"source": F.col("_source"), "rate": first, "copies": (F.col("base") + F.col("up") + F.coalesce("delta", F.lit(0))).cast("long")})
+
+
+def sized_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: Column | None = None) -> DataFrame:
+    """Small rows (row, _id, hash, source, size) of the documents; no text is shuffled. hash: of id, source and text."""
+    row = F.monotonically_increasing_id() if row is None else row
+    hashed = F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(source_col), F.col(source_col).isNull(), F.col(text_col), F.col(text_col).isNull())
+    return docs.select(row.alias("row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("hash"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Stored rows with `occ`, counted from 0 among those of one hash. One hash may have any share of the rows."""
+    n = rows.count()
+    again = cut(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1"), "mix-again")
+    if not again.limit(1).count():
+        return rows.withColumn("occ", F.lit(0).cast("long"))
+    known = cut(skew_join(rows, again, "hash", n, "left"), "mix-known")
+    discard(again)
+    several = known.where("_m IS NOT NULL").drop("_m")
+    several = ranked(several, "hash", [F.col("row")], several.count(), F.col("row"), name="occ")
+    return known.where("_m IS NULL").drop("_m").withColumn("occ", F.lit(0).cast("long")).unionByName(several)
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all of its columns.
 
-    Texts move once, by id, to meet their numbers of copies; see mix_sources() for odd rows.
+    Texts are stored with a number of their own and move once, by that number, to meet their copies, so no id, text
+    or source is a hot key; see mix_sources() for odd rows.
     """
-    taken = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    key, own, list_of, n, again = free_names(docs, "_key", "_occ", "_copies", "_n", "_again")
-    copies = taken.where("copies > 0").select(F.col("key").alias(key), F.struct("occ", "copies").alias("c")).groupBy(key).agg(F.collect_list("c").alias(list_of))
-    occ = F.row_number().over(Window.partitionBy(key).orderBy(F.col(source_col).cast("string"), word_count(F.col(text_col)), F.xxhash64(text_col))) - 1
-    rows = docs.withColumn(key, id_key(id_col)).withColumn(own, occ).join(copies, key)
-    count = F.aggregate(F.filter(list_of, lambda x: x.occ == F.col(own)), F.lit(0).cast("long"), lambda a, x: a + x["copies"])
-    rows = rows.withColumn(n, count).where(F.col(n) > 0)
-    return rows.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+    own, n, again = free_names(docs, "_row", "_n", "_again")
+    base = cut(docs.withColumn(own, F.monotonically_increasing_id()), "mix-base")
+    rows = numbered(cut(sized_rows(base, id_col, text_col, source_col, F.col(own)), "mix-rows"))
+    taken = cut(_mixed(rows, weights, cap, budget, seed).where("copies > 0").select(F.col("row").alias(own), F.col("copies").alias(n)), "mix-taken")
+    return base.join(taken, own).withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
