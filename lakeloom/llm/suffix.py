@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, ship
+from lakeloom.llm.common import cut, discard, ship, skew_join
 from lakeloom.llm.words import mix
 
 #: Bytes of the k-grams that anchors are chosen among, and zero bytes between two texts.
@@ -50,8 +51,9 @@ class Texts:
     anchor in it, at the same place of the string, whatever is around it.
     """
 
-    def __init__(self, texts: list[bytes], docs: np.ndarray, length: int):
+    def __init__(self, texts: list[bytes], docs: np.ndarray, length: int, copies: np.ndarray | None = None):
         self.length, self.docs, self.left = length, docs, length - GRAM
+        self.copies = np.ones(len(docs), np.int64) if copies is None else copies
         sizes = np.array([len(t) for t in texts], np.int64)
         self.start = GAP + np.concatenate([[0], np.cumsum(sizes + GAP)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         self.end = self.start + sizes
@@ -61,11 +63,8 @@ class Texts:
         # A string has at least half of its bytes outside of the k-gram on one side of it.
         half = self.left // 2
         steps = sorted({*range(0, half - 7, 8), half - 8})
-        edge = np.zeros(len(self.buf) + 1, np.int32)
         long = sizes >= length
-        np.add.at(edge, self.start[long], 1)
-        np.add.at(edge, self.end[long] - GRAM + 1, -1)
-        valid = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        opens, shuts = self.start[long], self.end[long] - GRAM + 1  # between them k-grams are of one text
         wide = length - GRAM + 1
         for a in range(0, len(self.buf), SLICE):
             lo, hi = max(0, a - GAP), min(len(self.buf), a + SLICE + 2 * GAP)
@@ -74,7 +73,11 @@ class Texts:
             if n <= wide:
                 continue
             h = mix(eight[:n] * np.uint64(0xD6E8FEB86659FD93) + mix(eight[GRAM - 8 :] + mix(eight[6 : 6 + n])))
-            ok = valid[lo : lo + n]
+            i, j = np.searchsorted(shuts, lo, "right"), np.searchsorted(opens, lo + n)
+            turn = np.zeros(n + 1, np.int32)
+            np.add.at(turn, np.maximum(opens[i:j] - lo, 0), 1)
+            np.add.at(turn, np.minimum(shuts[i:j] - lo, n), -1)
+            ok = np.cumsum(turn[:-1], dtype=np.int32) > 0
             h[~ok] = _NONE
             least = _slide(h, wide, np.minimum)
             pad = np.zeros(wide - 1, np.uint64)
@@ -111,7 +114,12 @@ class Texts:
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
         self.least = np.minimum.reduceat(self.docs[self.owner[order]], np.flatnonzero(new)) if len(f) else np.zeros(0, np.int64)
-        self.bounds = np.searchsorted(bucket[self.first], np.arange(buckets + 1))
+        self.bucket = bucket[self.first]
+
+    def buckets(self) -> list[tuple[int, int, int]]:
+        """The buckets that classes are in, with where they begin and end."""
+        cuts = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if len(self.bucket) else np.zeros(0, np.int64)
+        return list(zip(self.bucket[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(self.bucket)], strict=True)) if len(cuts) else []
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -125,23 +133,25 @@ def _unpack(data: bytes, n: int, width: int) -> np.ndarray:
 
 
 def _columns(*arrays) -> bytes:
-    """Columns of whole numbers in one binary: of each, its least value, width and the differences."""
-    out = [np.int64(len(arrays[0])).tobytes()]
+    """Columns of whole numbers in one binary: of each, its least value, width and the differences. A column of
+    equal numbers takes none."""
+    out = [struct.pack("<I", len(arrays[0]))]
     for a in arrays:
         a = a.astype(np.int64)
         low = a.min() if len(a) else np.int64(0)
         rest = a.view(np.uint64) - np.int64(low).view(np.uint64)
-        width = max(1, (int(rest.max()).bit_length() + 7) // 8) if len(a) else 1
-        out += [np.array([low, width], np.int64).tobytes(), _pack(rest, width)]
+        width = (int(rest.max()).bit_length() + 7) // 8 if len(a) else 0
+        out += [struct.pack("<qB", int(low), width), _pack(rest, width)]
     return b"".join(out)
 
 
 def _read_columns(data: bytes, count: int) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+    n, at, out = struct.unpack_from("<I", data)[0], 4, []
     for _ in range(count):
-        low, width = np.frombuffer(data, np.int64, 2, at).tolist()
-        out.append((_unpack(data[at + 16 : at + 16 + n * width], n, width) + np.int64(low).view(np.uint64)).view(np.int64))
-        at += 16 + n * width
+        low, width = struct.unpack_from("<qB", data, at)
+        rest = _unpack(data[at + 9 : at + 9 + n * width], n, width) if width else np.zeros(n, np.uint64)
+        out.append((rest + np.int64(low).view(np.uint64)).view(np.int64))
+        at += 9 + n * width
     return out
 
 
@@ -169,7 +179,7 @@ def _split(data: bytes) -> list[bytes]:
 def _texts(table: pa.Table, length: int) -> Texts:
     order = np.lexsort((np.array([hash_of(t) for t in table.column("text").to_pylist()]), table.column("doc").to_numpy()))
     table = table.take(pa.array(order))
-    return Texts(table.column("text").to_pylist(), table.column("doc").to_numpy(), length)
+    return Texts(table.column("text").to_pylist(), table.column("doc").to_numpy(), length, table.column("copies").to_numpy())
 
 
 def hash_of(text: bytes) -> int:
@@ -182,7 +192,7 @@ def _anchors(length: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         texts = _texts(table, length)
         texts.classes(buckets)
-        rows = [(b, _columns(texts.print[texts.first[i:j]] & np.uint64(2**40 - 1), texts.context[texts.first[i:j]] >> np.uint64(24), texts.sides[texts.first[i:j]], texts.least[i:j])) for b, (i, j) in enumerate(zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist(), strict=True)) if i < j]
+        rows = [(b, _columns(texts.print[texts.first[i:j]] & np.uint64(2**40 - 1), texts.context[texts.first[i:j]] >> np.uint64(24), texts.sides[texts.first[i:j]], texts.least[i:j])) for b, i, j in texts.buckets()]
         chunk = table.column("chunk")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
@@ -226,16 +236,20 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([chunks[i] for i in keep], pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(keep), pa.int64()), "blob": pa.array(cols, pa.binary())})
 
 
-def _kept(text: bytes, spans: np.ndarray) -> tuple[int, int, str]:
+def _kept(text, spans: np.ndarray) -> tuple[int, int, str]:
     """Bytes covered by spans (from, to), runs of them, and the hash of the rest."""
-    if not len(spans):
-        return 0, 0, hashlib.sha256(text).hexdigest()
-    edge = np.zeros(len(text) + 1, np.int64)
-    np.add.at(edge, spans[:, 0], 1)
-    np.add.at(edge, spans[:, 1], -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return int(gone.sum()), runs, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()
+    digest, at, gone, runs = hashlib.sha256(), 0, 0, 0
+    if len(spans):
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(spans[:, 1])
+        new = np.concatenate([[True], spans[1:, 0] > reach[:-1]])
+        begins, ends = spans[new, 0], reach[np.concatenate([new[1:], [True]])]
+        gone, runs = int((ends - begins).sum()), len(begins)
+        for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+            digest.update(text[at:a])
+            at = b
+    digest.update(text[at:])
+    return gone, runs, digest.hexdigest()
 
 
 def _settle(length: int, buckets: int, context_buckets: int):
@@ -246,7 +260,7 @@ def _settle(length: int, buckets: int, context_buckets: int):
     """
 
     def run(table: pa.Table, met: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("kind", "key", "chunk", "doc", "n_bytes", "n_removed", "n_spans", "sha", "blob")}
+        out: dict[str, list] = {c: [] for c in ("kind", "key", "chunk", "doc", "copies", "n_bytes", "n_removed", "n_spans", "sha", "blob")}
 
         def put(**row):
             for c in out:
@@ -258,9 +272,10 @@ def _settle(length: int, buckets: int, context_buckets: int):
         texts = _texts(table, length)
         texts.classes(buckets)
         least, differ = texts.least.copy(), np.zeros(len(texts.least), bool)
+        starts = {b: i for b, i, _ in texts.buckets()}
         for b, blob in zip(met.column("bucket").to_pylist(), met.column("blob").to_pylist(), strict=True):
             place, unlike, low = _read_columns(blob, 3)
-            place = place + texts.bounds[b]
+            place = place + starts[b]
             least[place], differ[place] = low, unlike.astype(bool)
         doc = texts.docs[texts.owner]
         lo = texts.place - texts.clip_left
@@ -294,18 +309,18 @@ def _settle(length: int, buckets: int, context_buckets: int):
                 later_spans.append(own), later_places.append(np.stack([number[texts.of[w]], texts.place[w] - texts.left - texts.start[d]], axis=1))
             else:
                 n, runs, sha = _kept(text, own)
-                put(kind=0, doc=int(texts.docs[d]), n_bytes=len(text), n_removed=n, n_spans=runs, sha=sha)
+                put(kind=0, doc=int(texts.docs[d]), copies=int(texts.copies[d]), n_bytes=len(text), n_removed=n, n_spans=runs, sha=sha)
         if later:
             d, n_own, n_places = np.array(later).T
             own, places = np.concatenate(later_spans), np.concatenate(later_places)
-            heads = _columns(texts.docs[d], texts.end[d] - texts.start[d], n_own, n_places), _columns(own[:, 0], own[:, 1]), _columns(places[:, 0], places[:, 1])
+            heads = _columns(texts.docs[d], texts.copies[d], texts.end[d] - texts.start[d], n_own, n_places), _columns(own[:, 0], own[:, 1]), _columns(places[:, 0], places[:, 1])
             put(kind=2, key=chunk, chunk=chunk, blob=_join(*heads, _squeeze(b"".join(raw[texts.start[i] : texts.end[i]] for i in d))))
         return _settled(out)
 
     return run
 
 
-_SETTLED = "kind int, key long, chunk long, doc long, n_bytes long, n_removed long, n_spans long, sha string, blob binary"
+_SETTLED = "kind int, key long, chunk long, doc long, copies long, n_bytes long, n_removed long, n_spans long, sha string, blob binary"
 
 
 def _settled(out: dict[str, list]) -> pa.Table:
@@ -491,14 +506,14 @@ def _resolve(length: int):
 
 def _finish(length: int):
     def run(waiting: pa.Table, runs: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("doc", "n_bytes", "n_removed", "n_spans", "sha")}
+        out: dict[str, list] = {c: [] for c in ("doc", "copies", "n_bytes", "n_removed", "n_spans", "sha")}
         parts = [_read_columns(b, 4) for b in runs.column("blob").to_pylist()]
         cls, lo, hi, low = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
         order = np.argsort(cls, kind="stable")
         cls, lo, hi, low = cls[order], lo[order], hi[order], low[order]
         for blob in waiting.column("blob").to_pylist():
             docs, spans, places, squeezed = _split(blob)
-            docs, sizes, n_own, n_places = _read_columns(docs, 4)
+            docs, copies, sizes, n_own, n_places = _read_columns(docs, 5)
             spans, (number, place), texts = np.stack(_read_columns(spans, 2), axis=1), _read_columns(places, 2), memoryview(_expand(squeezed))
             at, own_at, place_at = (np.concatenate([[0], np.cumsum(x)]).tolist() for x in (sizes, n_own, n_places))
             a, b = np.searchsorted(cls, number), np.searchsorted(cls, number, "right")
@@ -511,7 +526,7 @@ def _finish(length: int):
                 more = np.stack([first + lo[run_at], first + hi[run_at] + length], axis=1)[gone]
                 text = texts[at[d] : at[d + 1]]
                 removed, n_spans, sha = _kept(text, np.concatenate([spans[own_at[d] : own_at[d + 1]], more]))
-                for c, v in zip(out, (doc, len(text), removed, n_spans, sha), strict=True):
+                for c, v in zip(out, (doc, int(copies[d]), len(text), removed, n_spans, sha), strict=True):
                     out[c].append(v)
         return pa.table({c: pa.array(v, pa.string() if c == "sha" else pa.int64()) for c, v in out.items()})
 
@@ -524,8 +539,13 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
 
     A byte goes if a string of `length` bytes (40 to 120) that covers it also starts in a document with a
     smaller id; matches are judged on the input and never cross documents. Texts are UTF-8 bytes; null and
-    empty ones have none. Null ids count as smaller than all others; rows with equal ids, so repeated
-    rows too, take nothing from each other. Every row gives one row; other columns are dropped.
+    empty ones have none. Ids are whole numbers, anything else is a TypeError. Null ids count as smaller than all
+    others; rows with equal ids, so repeated rows too, take nothing from each other. Every row gives one row;
+    other columns are dropped. A text of any length is searched whole, by one task that holds about twelve times its
+    bytes; texts that wait for other contexts are packed by chunk, so one of more than 2 GB can't be.
+
+    That two contexts are equal is judged by 40 bits of their k-gram's hash, 32 or less of its bucket and 40 of the
+    contexts' own: of different ones, about one in 2 ** 80 pairs of a bucket would pass for equal.
 
     1. Texts are dealt into chunks. In each, anchors are chosen (see Texts); anchors of equal context are
        one class, which is what leaves the chunk, so a passage in many documents of a chunk goes out once.
@@ -538,19 +558,39 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     if not 40 <= length <= 120:
         raise ValueError("length must be between 40 and 120")
     ship(docs.sparkSession)
-    null = -(2**63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("doc"), F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("text"))
+    ids, back = _ordered_ids(docs, id_col)
+    rows = docs.select(ids.alias("doc"), F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, total // CHUNK_BYTES)
     buckets = max(1, total // 16 // BUCKET_ANCHORS)
     context_buckets = max(1, total // 200 // BUCKET_CONTEXTS)
-    base = rows.withColumn("chunk", F.pmod(F.xxhash64("doc", F.octet_length("text")), F.lit(chunks)))
+    # Rows that are equal as a whole have one result; one row may be any share of them all.
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    again = cut(rows.groupBy("doc", "hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("doc", "hash"), "suffix-again")
+    base = rows.withColumn("copies", F.lit(1).cast("long"))
+    if again.limit(1).count():
+        n = rows.count()
+        several = skew_join(rows, again, ["doc", "hash"], n).groupBy("doc", "text", "hash").agg(F.count(F.lit(1)).alias("copies"))
+        base = skew_join(rows, again.withColumn("_again", F.lit(1)), ["doc", "hash"], n, "left").where("_again IS NULL").select("doc", "text", "hash", F.lit(1).cast("long").alias("copies")).unionByName(several)
+    base = base.withColumn("chunk", F.pmod(F.xxhash64("doc", "hash"), F.lit(chunks))).drop("hash")
     prints = base.groupBy("chunk").applyInArrow(_anchors(length, buckets), "bucket long, chunk long, blob binary")
     met = prints.groupBy("bucket").applyInArrow(_meet, "chunk long, bucket long, blob binary")
     settled = base.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_settle(length, buckets, context_buckets), _SETTLED)
-    settled = cut(settled.select("key", "chunk", "doc", "n_bytes", "n_removed", "n_spans", "sha", "blob", "kind"), "suffix-settled", ("kind",))
-    names = "doc long, n_bytes long, n_removed long, n_spans long, sha string"
+    settled = cut(settled.select("key", "chunk", "doc", "copies", "n_bytes", "n_removed", "n_spans", "sha", "blob", "kind"), "suffix-settled", ("kind",))
+    discard(again)
+    names = "doc long, copies long, n_bytes long, n_removed long, n_spans long, sha string"
     runs = settled.where("kind = 1").select("key", "chunk", "blob").groupBy("key").applyInArrow(_resolve(length), "chunk long, blob binary")
     late = settled.where("kind = 2").select("chunk", "blob").groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInArrow(_finish(length), names)
-    out = settled.where("kind = 0").select("doc", "n_bytes", "n_removed", "n_spans", "sha").unionByName(late)
-    return out.select(F.when(F.col("doc") != null, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
+    out = settled.where("kind = 0").select("doc", "copies", "n_bytes", "n_removed", "n_spans", "sha").unionByName(late)
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return back(out).select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
+
+
+def _ordered_ids(docs: DataFrame, id_col: str):
+    """Ids as whole numbers and what turns them back into a column _id. Null is the least. Other ids have no order
+    that is known to be meant, so they are an error rather than a cast."""
+    null = -(2**63)
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.coalesce(F.col(id_col).cast("long"), F.lit(null)), lambda out: out.withColumn("_id", F.when(F.col("doc") != null, F.col("doc")).cast(kind))
+    raise TypeError(f"ids of {id_col} must be whole numbers, whose order decides; they are {kind}")
