@@ -20,6 +20,7 @@ BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 HOT_SHARE, HOT_ROWS = 1000, 4096
 #: Any number that a long holds is halved away in as many steps.
 DOUBLINGS = 64
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _own: dict[str, str] = {}
@@ -85,9 +86,15 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: its lineage ends there,
-    and the loss of an executor costs no more than the tasks that ran on it."""
-    path = fresh(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    and the loss of an executor costs no more than the tasks that ran on it. Nothing needs the shuffle files
+    that led to it any more, so Spark deletes them at once."""
+    path, conf = fresh(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lakeloom_path = path
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import cut, discard, ship, skew_join
-from lakeloom.llm.words import mix
+from lakeloom.llm.words import mix, text_bytes
 
 #: Bytes of the k-grams that anchors are chosen among, and zero bytes between two texts.
 GRAM, GAP = 16, 128
@@ -176,10 +176,32 @@ def _split(data: bytes) -> list[bytes]:
     return out
 
 
+def _deal(batches):
+    """Rows (chunk, doc, copies, text) to a row for each chunk of a batch, its texts squeezed together."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        chunk, doc, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "doc", "copies"))
+        data, offsets = text_bytes(batch.column("text"))
+        raw, order = memoryview(np.ascontiguousarray(data)), np.argsort(chunk, kind="stable")
+        out: list[bytes] = []
+        parts = np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1)
+        for own in parts:
+            head = _columns(doc[own], copies[own], offsets[own + 1] - offsets[own])
+            out.append(_join(head, _squeeze(b"".join(raw[offsets[i] : offsets[i + 1]] for i in own))))
+        yield pa.RecordBatch.from_arrays([pa.array([int(chunk[own[0]]) for own in parts], pa.int64()), pa.array(out, pa.binary())], ["chunk", "blob"])
+
+
 def _texts(table: pa.Table, length: int) -> Texts:
-    order = np.lexsort((np.array([hash_of(t) for t in table.column("text").to_pylist()]), table.column("doc").to_numpy()))
-    table = table.take(pa.array(order))
-    return Texts(table.column("text").to_pylist(), table.column("doc").to_numpy(), length, table.column("copies").to_numpy())
+    texts, heads = [], []
+    for blob in table.column("blob"):
+        head, squeezed = _split(blob.as_py())
+        heads.append(_read_columns(head, 3))
+        data, ends = memoryview(_expand(squeezed)), np.cumsum(heads[-1][2]).tolist()
+        texts += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    doc, copies = (np.concatenate([h[i] for h in heads]) for i in range(2))
+    order = np.lexsort((np.array([hash_of(t) for t in texts]), doc))
+    return Texts([texts[i] for i in order], doc[order], length, copies[order])
 
 
 def hash_of(text: bytes) -> int:
@@ -572,7 +594,7 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
         n = rows.count()
         several = skew_join(rows, again, ["doc", "hash"], n).groupBy("doc", "text", "hash").agg(F.count(F.lit(1)).alias("copies"))
         base = skew_join(rows, again.withColumn("_again", F.lit(1)), ["doc", "hash"], n, "left").where("_again IS NULL").select("doc", "text", "hash", F.lit(1).cast("long").alias("copies")).unionByName(several)
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("doc", "hash"), F.lit(chunks))).drop("hash")
+    base = base.select(F.pmod(F.xxhash64("doc", "hash"), F.lit(chunks)).alias("chunk"), "doc", "copies", "text").mapInArrow(_deal, "chunk long, blob binary")
     prints = base.groupBy("chunk").applyInArrow(_anchors(length, buckets), "bucket long, chunk long, blob binary")
     met = prints.groupBy("bucket").applyInArrow(_meet, "chunk long, bucket long, blob binary")
     settled = base.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_settle(length, buckets, context_buckets), _SETTLED)
