@@ -8,9 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.catalog import Catalog
-
-#: Columns to lay tables out by, where DDL declares no index: they name a column, not a position.
-DEFAULT_INDEX = {"lineitem": "orderkey", "orders": "custkey", "nation": "name", "customer": "mktsegment"}
+from lakeloom.store import Store
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -19,23 +17,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def save_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, sort: list[str] | None = None) -> DataFrame:
-    """Store df as a table bucketed by keys and sorted inside the buckets. Rows are kept as they are,
-    repeated keys too. Each bucket is written by one task, to a folder of its own for each call."""
+    """Store df in the warehouse as a table bucketed by keys and sorted inside the buckets, in place of an earlier one
+    of that name."""
     spark = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*(sort or keys)).format("parquet")
-    writer.option("path", fresh_path(spark, table)).saveAsTable(table)
-    return spark.table(table)
+    return Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{spark.sparkContext.applicationId}", "").save(table, df, keys, sort, buckets)
 
 
-def load(catalog: Catalog, name: str, buckets: int, index: str | None = None, prefix: str = "loaded_") -> DataFrame:
-    """Load a declared table: its index column, else its primary key, else the first column decides
-    the bucket; the primary key orders the rows in it."""
+def load(catalog: Catalog, name: str, buckets: int, index: str | None = None) -> DataFrame:
+    """Load a declared table into the catalog's store: the index column that is given, else the first that DDL declares,
+    else the primary key, else the first column decides the bucket; the primary key orders the rows in it."""
     table = catalog.tables[name.lower()]
-    key = index or next(iter(table.indexes), None) or DEFAULT_INDEX.get(table.name)
-    keys = [key] if key in table.schema.names else list(table.primary_key) or [table.schema.names[0]]
+    key = index or next(iter(table.indexes), None)
+    if key and key not in table.schema.names:
+        raise ValueError(f"{table.name} has no column {key}")
+    keys = [key] if key else list(table.primary_key) or [table.schema.names[0]]
     sort = list(dict.fromkeys([*keys, *table.primary_key]))
-    out = save_bucketed(catalog.text(name), f"{prefix}{table.name}", keys, buckets, sort)
+    out = catalog.store.save(table.name, catalog.text(name), keys, sort, buckets)
     out.createOrReplaceTempView(table.name)
     return out
 

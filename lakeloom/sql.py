@@ -48,16 +48,16 @@ class Outcome:
     error: str | None = None
 
 
-def run_script(catalog: Catalog, text: str, out: TextIO | None = None, err: TextIO | None = None, loading: bool = False, buckets: int = 8) -> list[Outcome]:
-    """Run each statement: CREATE TABLE registers a table (and stores it, when loading), any other is a
-    query whose rows are printed. A failure is reported and the next statement runs."""
+def run_script(catalog: Catalog, text: str, out: TextIO | None = None, err: TextIO | None = None, loading: bool = False, buckets: int = 8, index: dict[str, str] | None = None) -> list[Outcome]:
+    """Run each statement: CREATE TABLE registers a table (and stores it, when loading, by the column that index names
+    for it), any other is a query whose rows are printed. A failure is reported and the next statement runs."""
     done = []
     for statement in split_statements(text):
         try:
             if is_create_table(statement):
                 table = catalog.create(statement)
                 if loading:
-                    load(catalog, table.name, buckets)
+                    load(catalog, table.name, buckets, (index or {}).get(table.name))
                 done.append(Outcome(statement))
             else:
                 result: DataFrame = catalog.sql(statement)
