@@ -27,7 +27,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from lakeloom.llm.common import BROADCAST_ROWS, fresh, ship, spread_join
+from lakeloom.llm.common import cut, fresh, ship, spread_join
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, payload_digest string, "
@@ -49,10 +49,20 @@ SPLIT_BYTES = 8 << 20
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, as an executor sees it."""
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    """The file system of a path or URI, as an executor sees it: an absolute path of a file system that is mounted
+    everywhere, file:, s3: (s3a: and s3n: are the same), gs:, and hdfs: where libhdfs is installed. Any other scheme is an
+    error, and so is a path that depends on where a worker runs."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        if not path.startswith("/"):
+            raise ValueError(f"not an absolute path: {path}")
+        return pafs.LocalFileSystem(), path
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    known = {"s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "hdfs": "hdfs", "viewfs": "viewfs"}
+    if scheme not in known or not rest.startswith("//"):
+        raise ValueError(f"WARC archives can't be kept at {path}: {scheme}: isn't among {', '.join(sorted(known))} and file:")
+    return pafs.FileSystem.from_uri(f"{known[scheme]}:{rest}")
 
 
 def _header_text(value: str) -> str:
@@ -337,8 +347,9 @@ def page_records(pages: DataFrame, least: int = 1000, id_col: str = "page_id", u
     rows = pages.select(F.col(id_col).cast("string").alias("_id"), F.col(id_col).alias("_order"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumns({"payload_length": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     same = rows.where(F.col("payload_length") >= least).groupBy("payload_digest").agg(F.max("_order").alias("_top"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    # How many payloads come twice isn't known, so their number is taken to be large.
-    rows = spread_join(rows, same, "payload_digest", F.coalesce("_id", F.lit("")), BROADCAST_ROWS + 1, salts=16)
+    # Digests and ids alone are shuffled to see which payloads repeat. Where they are few, payloads stay where they are.
+    same = cut(same, "warc-same")
+    rows = spread_join(rows, same, "payload_digest", F.coalesce("_id", F.lit("")), same.count(), salts=16)
     revisit = F.col("_top").isNotNull() & ~F.col("_order").eqNullSafe(F.col("_top")) & (F.col("payload_length") >= least)
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c, F.lit("null")))
     return rows.select(
