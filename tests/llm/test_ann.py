@@ -87,3 +87,9 @@ def test_unequal_numbers_of_centroids():
 @pytest.mark.parametrize("k", [1, 3])
 def test_kmeans_of_few_points(k):
     assert len(ann.kmeans(np.array([[1.0], [1.0], [2.0]]), k)) == min(k, 2)
+
+
+def test_rows_that_share_an_id_are_queries_and_candidates_each(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (3, [1.0, 0.1]), (4, [0.1, 1.0])]
+    found = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert found == sorted([(100, 1, 3, 0.1), (100, 2, 4, round((0.9**2 + 1) ** 0.5, 6)), (100, 3, 100, round(2**0.5, 6)), (100, 1, 4, 0.1), (100, 2, 3, round((0.9**2 + 1) ** 0.5, 6)), (100, 3, 100, round(2**0.5, 6))])
