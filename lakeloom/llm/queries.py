@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.llm import oracles
 from lakeloom.llm.common import UPPER, table
 
 
@@ -107,4 +108,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": _op1_sql(), "op2_warc": OP2_SQL}
+    return {"op1_url_filter": _op1_sql(), "op2_warc": OP2_SQL, "op4_nearest": oracles.NEAREST, "op7_repeated_passages": oracles.PASSAGES, "op8_near_duplicates": oracles.NEAR_DUPLICATES, "op9_decontaminate": oracles.LEAKS}
