@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -90,6 +91,29 @@ def record_bytes(row: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def gzip_member(data: bytes) -> bytes:
+    """A gzip member whose header tells how long it is, in the extra field `sl` (both lengths, 32 bits each), so that a reader
+    can leave it out without unpacking it. Lengths that don't fit are left out."""
+    packer = zlib.compressobj(4, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush() + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    if len(body) + 24 >> 32 or len(data) >> 32:
+        return b"\x1f\x8b\x08\x00\0\0\0\0\0\xff" + body
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, len(body) + 24, len(data)) + body
+
+
+def member_length(head: bytes) -> int | None:
+    """What a member's first bytes tell of its length."""
+    if len(head) < 12 or head[:2] != b"\x1f\x8b" or not head[3] & 4:
+        return None
+    at, end = 12, 12 + struct.unpack_from("<H", head, 10)[0]
+    while at + 4 <= min(end, len(head)):
+        name, size = struct.unpack_from("<2sH", head, at)
+        if name == b"sl" and size == 8 and at + 12 <= len(head):
+            return struct.unpack_from("<I", head, at + 4)[0]
+        at += 4 + size
+    return None
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list
@@ -113,8 +137,7 @@ class WarcWriter(DataSourceArrowWriter):
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
                 data = record_bytes(row)
                 if self.gzipped:
-                    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
-                    data = packer.compress(data) + packer.flush()
+                    data = gzip_member(data)
                 if not splits or at - splits[-1] >= SPLIT_BYTES:
                     splits.append(at)
                 out.write(data)
@@ -145,12 +168,23 @@ class Slice(InputPartition):
 
 
 class _Stream:
-    """Bytes of a file from `at` on; gzip members are unpacked one by one."""
+    """Bytes of a file from `at` on; gzip members are unpacked one by one, no further than asked for."""
 
     def __init__(self, raw, at: int, gzipped: bool):
-        self.raw, self.gzipped, self.at = raw, gzipped, at
+        self.raw, self.gzipped = raw, gzipped
         raw.seek(at)
-        self.buffer, self.packed, self.unpack = b"", b"", zlib.decompressobj(31) if gzipped else None
+        self.buffer, self.packed, self.unpack = b"", b"", None
+        if gzipped:
+            self._open()
+
+    def _open(self) -> bool:
+        """Begin a member: its header may tell where it ends."""
+        if len(self.packed) < 256:
+            self.packed += self.raw.read(1 << 16)
+        at, length = self.raw.tell() - len(self.packed), member_length(self.packed[:256])
+        self.end = None if length is None else at + length
+        self.buffer, self.unpack, self.step = b"", zlib.decompressobj(31), 1 << 12
+        return bool(self.packed)
 
     def _more(self) -> bool:
         if not self.gzipped:
@@ -160,11 +194,11 @@ class _Stream:
         if self.unpack.eof:
             return False
         data = self.packed or self.raw.read(1 << 16)
-        self.packed = b""
         if not data:
             return False
-        self.buffer += self.unpack.decompress(data)
-        self.packed = self.unpack.unused_data
+        self.buffer += self.unpack.decompress(data, self.step)
+        self.packed = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+        self.step = min(self.step * 4, 1 << 18)
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -183,27 +217,31 @@ class _Stream:
         return b"".join(parts)
 
     def skip(self, n: int) -> None:
-        """Leave n bytes out: a plain file is sought past them, a gzip member is unpacked piecewise."""
-        if not self.gzipped and n > len(self.buffer):
+        """Leave the n bytes of a block out: a plain file is sought past them. In a gzip member nothing is done, since
+        next_member() goes past it."""
+        if self.gzipped:
+            return
+        if n > len(self.buffer):
             self.raw.seek(self.raw.tell() + n - len(self.buffer))
             self.buffer = b""
-            return
-        while n:
-            got = len(self.buffer[:n])
-            self.buffer, n = self.buffer[got:], n - got
-            if n and not self._more():
-                break
+        else:
+            self.buffer = self.buffer[n:]
 
     def next_member(self) -> bool:
-        """Go to the next gzip member."""
-        while not self.unpack.eof:
-            self.buffer = b""
-            if not self._more():
-                return False
-        self.buffer = b""
-        self.unpack, data = zlib.decompressobj(31), self.packed or self.raw.read(1 << 16)
-        self.packed = data
-        return bool(data)
+        """Go to the next gzip member: past one that tells its length by a seek, else by unpacking it piecewise."""
+        if not self.unpack.eof and self.end is not None:
+            left = self.raw.tell() - self.end
+            if 0 <= left <= len(self.packed):
+                self.packed = self.packed[len(self.packed) - left :]
+            else:
+                self.raw.seek(self.end)
+                self.packed = b""
+        else:
+            while not self.unpack.eof:
+                self.buffer = b""
+                if not self._more():
+                    return False
+        return self._open()
 
     def position(self) -> int:
         return self.raw.tell() - len(self.packed if self.gzipped else self.buffer)
