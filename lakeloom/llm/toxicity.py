@@ -18,6 +18,8 @@ from lakeloom.llm.words import LOWER, runs_of, span_hashes, steps, text_bytes, w
 
 #: Labelled documents that lexicon, trees and calibration are fitted on; entries of a learned lexicon.
 FIT_ROWS, TERMS = 12_000, 1_000
+#: Documents of either label that the calibration's quarter must have to be kept back.
+CALIBRATE = 20
 #: Tasks that compute the features of the fitted documents.
 SPREAD = 32
 #: Letters of a word's stem, and words between an insult and a second person that count as near.
@@ -316,7 +318,7 @@ def _fit_features(lexicons):
                 x = np.zeros((part.num_rows, N_FEATURES))
                 for w in np.unique(which):
                     x[which == w] = matrix(own[w], part.column("text").filter(pa.array(which == w)))
-                yield pa.RecordBatch.from_arrays([part.column("y"), part.column("pick"), pa.array(list(x), pa.list_(pa.float64()))], ["y", "pick", "x"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("y", "pick", "part")], pa.array(list(x), pa.list_(pa.float64()))], ["y", "pick", "part", "x"])
 
     return run
 
@@ -325,31 +327,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
     """A model learned from up to fit_rows labelled documents outside of the held-out fold; None
     where they don't show both labels. Of several rows with an id, one text counts, chosen by its hash.
 
-    A quarter is kept for the calibration and no lexicon sees its labels, so it is scored as new texts are. The
-    halves of the rest are given each other's lexicon, so the trees never see one that knew their labels."""
+    A quarter is kept for the calibration and no lexicon sees its labels, so it is scored as new texts are; where that
+    quarter has hardly any of a label, all are fitted on, and calibrated on by trees fitted without their quarter. The halves of the rest are given each other's lexicon, so the trees never see one that knew their labels."""
     spark = docs.sparkSession
     ship(spark)
     chosen = labelled_sample(labels, label_col, id_col, folds, held, fit_rows)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     sample = sample.groupBy("id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
-    sample = cut(sample.select("text", "y", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("half"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4)).cast("int").alias("pick")), "toxicity-sample")
-    shown = {(r["y"], r["kept"]) for r in sample.groupBy("y", (F.col("pick") == 0).alias("kept")).count().collect()}
+    sample = cut(sample.select("text", "y", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("half"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4)).cast("int").alias("pick")).withColumn("part", F.col("pick")), "toxicity-sample")
+    shown = {(r["y"], r["kept"]): r["count"] for r in sample.groupBy("y", (F.col("pick") == 0).alias("kept")).count().collect()}
     if not {0, 1} <= {y for y, _ in shown}:
         discard(sample)
         return None
-    if not {(0, True), (1, True), (0, False), (1, False)} <= shown:  # too few to keep any back
-        sample = sample.withColumn("pick", F.lit(1))
+    if min(shown.get((y, True), 0) for y in (0, 1)) < CALIBRATE or min(shown.get((y, False), 0) for y in (0, 1)) < CALIBRATE:
+        sample = sample.withColumn("pick", F.lit(1))  # too few to keep any back
     lexicons = _learn_lexicons(sample.where("pick <> 0"))
     shared = spark.sparkContext.broadcast(lexicons)
-    rows = sample.repartition(SPREAD).mapInArrow(_fit_features(shared), "y int, pick int, x array<double>").collect()  # fit_rows at most
-    rows.sort(key=lambda r: (r["pick"], r["y"], r["x"]))
-    x, y, pick = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], np.float64), np.array([r["pick"] for r in rows])
+    rows = sample.repartition(SPREAD).mapInArrow(_fit_features(shared), "y int, pick int, part int, x array<double>").collect()  # fit_rows at most
+    rows.sort(key=lambda r: (r["part"], r["y"], r["x"]))
+    x, y, pick, part = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], np.float64), np.array([r["pick"] for r in rows]), np.array([r["part"] for r in rows])
     fit = pick != 0
-    rest = ~fit if (~fit).any() else fit
     trees = fit_trees(x[fit], y[fit])
+    if fit.all():  # each part is scored by trees that were fitted on the others
+        margin = np.concatenate([fit_trees(x[part != p], y[part != p]).margin(x[part == p]) if (part != p).any() else trees.margin(x) for p in np.unique(part)])
+        knots = fit_isotonic(margin, y)
+    else:
+        knots = fit_isotonic(trees.margin(x[~fit]), y[~fit])
     shared.unpersist()
     discard(sample)
-    return ToxicityModel(lexicons[2], trees, fit_isotonic(trees.margin(x[rest]), y[rest]))
+    return ToxicityModel(lexicons[2], trees, knots)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
