@@ -15,12 +15,12 @@ from lakeloom.llm.words import mix, text_bytes
 
 #: Bytes of the k-grams that anchors are chosen among, and zero bytes between two texts.
 GRAM, GAP = 16, 128
-#: Bytes of text in a chunk, anchors in a bucket, contexts in a bucket, bytes in one transform.
+#: Bytes of text in a chunk, anchors in a bucket, contexts in a bucket, codes in one transform.
 CHUNK_BYTES, BUCKET_ANCHORS, BUCKET_CONTEXTS, STEP = 4 << 20, 1_000_000, 50_000, 1 << 18
 #: Bytes whose anchors are found at a time, so that arrays stay in the cache.
 SLICE = 1 << 17
-#: Contexts of one k-gram that are compared as they are.
-HOT = 1024
+#: Contexts of one k-gram that are compared as they are, and that may meet in one task.
+HOT, CROWD = 1024, 8192
 _NONE = np.uint64(2**64 - 1)
 _ZSTD = pa.Codec("zstd", 3)
 _FAR = np.int64(2**63 - 1)
@@ -231,31 +231,38 @@ def _alone(gram: np.ndarray, side: np.ndarray) -> np.ndarray:
     return out
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """A bucket's classes to those whose k-gram has several, a row for each chunk: place, whether
-    contexts differ, smallest doc. Classes with which no other agrees on either side meet nobody."""
-    chunks, parts = table.column("chunk").to_pylist(), [_read_columns(b, 4) for b in table.column("blob").to_pylist()]
-    gram, context, sides, doc = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    place = np.concatenate([np.arange(len(p[0])) for p in parts])
-    order = np.argsort(gram, kind="stable")
-    g = gram[order]
-    same = g[1:] == g[:-1]
-    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    order = order[~(_alone(gram[order], sides[order] >> 12) & _alone(gram[order], sides[order] & 4095))]
-    gram, context, doc, owner, place = (x[order] for x in (gram, context, doc, owner, place))
-    if not len(gram):
-        return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
-    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    size = np.diff(np.concatenate([first, [len(gram)]]))
-    differ = np.repeat(np.minimum.reduceat(context, first) != np.maximum.reduceat(context, first), size)
-    least = np.repeat(np.minimum.reduceat(doc, first), size)
-    order = np.lexsort((place, owner))
-    owner, place, differ, least = owner[order], place[order], differ[order], least[order]
-    bounds = np.searchsorted(owner, np.arange(len(parts) + 1))
-    keep = [i for i in range(len(parts)) if bounds[i] < bounds[i + 1]]
-    cols = [_columns(place[bounds[i] : bounds[i + 1]], differ[bounds[i] : bounds[i + 1]], least[bounds[i] : bounds[i + 1]]) for i in keep]
-    return pa.table({"chunk": pa.array([chunks[i] for i in keep], pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(keep), pa.int64()), "blob": pa.array(cols, pa.binary())})
+def _meet(crowd: int):
+    """A bucket's classes to those whose k-gram has several, a row for each chunk: place, whether contexts differ
+    (2: more than `crowd` do), smallest doc. Classes with which no other agrees on either side meet nobody."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunks, parts = table.column("chunk").to_pylist(), [_read_columns(b, 4) for b in table.column("blob").to_pylist()]
+        gram, context, sides, doc = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        place = np.concatenate([np.arange(len(p[0])) for p in parts])
+        order = np.argsort(gram, kind="stable")
+        g = gram[order]
+        same = g[1:] == g[:-1]
+        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        order = order[~(_alone(gram[order], sides[order] >> 12) & _alone(gram[order], sides[order] & 4095))]
+        order = order[np.lexsort((context[order], gram[order]))]
+        gram, context, doc, owner, place = (x[order] for x in (gram, context, doc, owner, place))
+        if not len(gram):
+            return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+        other = np.concatenate([[True], gram[1:] != gram[:-1]])
+        first = np.flatnonzero(other)
+        size = np.diff(np.concatenate([first, [len(gram)]]))
+        contexts = np.add.reduceat((other | np.concatenate([[True], context[1:] != context[:-1]])).astype(np.int64), first)
+        differ = np.repeat((contexts > 1).astype(np.int64) + (contexts > crowd), size)
+        least = np.repeat(np.minimum.reduceat(doc, first), size)
+        order = np.lexsort((place, owner))
+        owner, place, differ, least = owner[order], place[order], differ[order], least[order]
+        bounds = np.searchsorted(owner, np.arange(len(parts) + 1))
+        keep = [i for i in range(len(parts)) if bounds[i] < bounds[i + 1]]
+        cols = [_columns(place[bounds[i] : bounds[i + 1]], differ[bounds[i] : bounds[i + 1]], least[bounds[i] : bounds[i + 1]]) for i in keep]
+        return pa.table({"chunk": pa.array([chunks[i] for i in keep], pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(keep), pa.int64()), "blob": pa.array(cols, pa.binary())})
+
+    return run
 
 
 def _kept(text, spans: np.ndarray) -> tuple[int, int, str]:
@@ -293,31 +300,44 @@ def _settle(length: int, buckets: int, context_buckets: int):
             return _settled(out)
         texts = _texts(table, length)
         texts.classes(buckets)
-        least, differ = texts.least.copy(), np.zeros(len(texts.least), bool)
+        least, differ = texts.least.copy(), np.zeros(len(texts.least), np.int64)
         starts = {b: i for b, i, _ in texts.buckets()}
         for b, blob in zip(met.column("bucket").to_pylist(), met.column("blob").to_pylist(), strict=True):
             place, unlike, low = _read_columns(blob, 3)
             place = place + starts[b]
-            least[place], differ[place] = low, unlike.astype(bool)
+            least[place], differ[place] = low, unlike
         doc = texts.docs[texts.owner]
         lo = texts.place - texts.clip_left
         hi = np.minimum(texts.place, texts.end[texts.owner] - length)
-        gone = (least[texts.of] < doc) & ~differ[texts.of] & (hi >= lo)
+        gone = (least[texts.of] < doc) & (differ[texts.of] == 0) & (hi >= lo)
         rel = texts.start[texts.owner]
         spans = np.stack([lo - rel, hi + length - rel], axis=1)
-        waits = differ[texts.of] & (hi >= lo)
-        # Classes that differ, in order of bucket, get the numbers 0, 1, ... of this chunk.
+        waits = (differ[texts.of] > 0) & (hi >= lo)
         which = np.unique(texts.of[waits])
-        number = np.full(len(texts.least), -1)
-        number[which] = np.arange(len(which))
         first = texts.first[which]
-        bucket = ((texts.print[first] >> np.uint64(5)) % np.uint64(context_buckets)).astype(np.int64)
         rows = texts.buf[texts.place[first][:, None] + np.arange(-texts.left, length)[None, :]] if len(first) else np.zeros((0, texts.left + length), np.uint8)
-        order = np.argsort(bucket, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-            f = first[part]
-            head = _columns(part, texts.clip_left[f], texts.clip_right[f], texts.least[which[part]])
-            put(kind=1, key=int(bucket[part[0]]), chunk=chunk, blob=_join(head, _squeeze(rows[part].tobytes())))
+        waiting = Contexts(rows, texts.clip_left[first], texts.clip_right[first] - GRAM, texts.least[which], 0, texts.left)
+        # Contexts that go out get the numbers 0, 1, ... of this chunk; a class may have one for each part of its windows.
+        classes, numbers, count = [], [], 0
+        for level, reaches in ((1, [(0, texts.left)]), (2, _reaches(texts.left))):
+            own = np.flatnonzero(differ[which] == level)
+            for low, high in reaches if len(own) else []:
+                near, at = waiting.take(own).narrow(low, high)
+                if not len(at):
+                    continue
+                lead, kind, _ = near.distinct()
+                classes.append(which[own[at]]), numbers.append(count + kind)
+                near = near.take(lead)
+                bucket = (near.keys() % np.uint64(context_buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    few = near.take(part)
+                    head = _columns(count + part, few.left, few.right, few.docs, np.full(len(part), low), np.full(len(part), high))
+                    put(kind=1, key=int(bucket[part[0]]), chunk=chunk, blob=_join(head, _squeeze(few.rows.tobytes())))
+                count += len(lead)
+        classes, numbers = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (classes, numbers))
+        order = np.argsort(classes, kind="stable")
+        numbers, ends = numbers[order], np.searchsorted(classes[order], np.arange(len(texts.least) + 1))
         by_doc = np.searchsorted(texts.owner, np.arange(len(texts.docs) + 1))
         raw = memoryview(texts.buf)
         later, later_spans, later_places = [], [], []
@@ -327,8 +347,10 @@ def _settle(length: int, buckets: int, context_buckets: int):
             own = spans[a:b][gone[a:b]]
             if waits[a:b].any():
                 w = np.flatnonzero(waits[a:b]) + a
-                later.append((d, len(own), len(w)))
-                later_spans.append(own), later_places.append(np.stack([number[texts.of[w]], texts.place[w] - texts.left - texts.start[d]], axis=1))
+                several = ends[texts.of[w] + 1] - ends[texts.of[w]]
+                at = np.repeat(ends[texts.of[w]], several) + _within(several)
+                later.append((d, len(own), len(at)))
+                later_spans.append(own), later_places.append(np.stack([numbers[at], np.repeat(texts.place[w], several) - texts.left - texts.start[d]], axis=1))
             else:
                 n, runs, sha = _kept(text, own)
                 put(kind=0, doc=int(texts.docs[d]), copies=int(texts.copies[d]), n_bytes=len(text), n_removed=n, n_spans=runs, sha=sha)
@@ -396,131 +418,182 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, length: int) -> np.nda
     return border
 
 
-def _windows(rows: np.ndarray, left: np.ndarray, right: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _hash_columns(rows: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    out = seed = seed.astype(np.uint64)
+    for i in range(rows.shape[1]):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + rows[:, i] + np.uint64(1)
+    return mix(out ^ mix(seed))
+
+
+class Contexts:
+    """K-grams and what is around them, for the windows that reach `low` to `high` bytes to the left of the k-gram.
+
+    All of these windows hold the core: the k-gram, the `low` bytes before it and the bytes after it that the one
+    with the longest reach holds. `wide` = high - low more bytes on either side of the core are in some of them;
+    left and right tell how many of those the text has. The k-th window begins k bytes after the row does.
+    """
+
+    def __init__(self, rows: np.ndarray, left: np.ndarray, right: np.ndarray, docs: np.ndarray, low: int, high: int):
+        self.rows, self.left, self.right, self.docs, self.low, self.high = rows, left, right, docs, low, high
+        self.wide, self.end = high - low, rows.shape[1] - (high - low)
+
+    def take(self, at) -> Contexts:
+        return Contexts(self.rows[at], self.left[at], self.right[at], self.docs[at], self.low, self.high)
+
+    def narrow(self, low: int, high: int) -> tuple[Contexts, np.ndarray]:
+        """The contexts that have the core of a part of the windows, cut to it, and which they are."""
+        near, far = low - self.low, self.high - high
+        at = np.flatnonzero((self.left >= near) & (self.right >= far))
+        rows = self.rows[at, far : self.rows.shape[1] - near] if near or far else self.rows[at]
+        return Contexts(rows, np.minimum(self.left[at] - near, high - low), np.minimum(self.right[at] - far, high - low), self.docs[at], low, high), at
+
+    def keys(self) -> np.ndarray:
+        return _hash_columns(self.rows[:, self.wide : self.end], np.zeros(len(self.rows)))
+
+    def inside(self) -> np.ndarray:
+        """Which windows the text has: (contexts, windows)."""
+        at = np.arange(self.wide + 1)[None, :]
+        return (at >= self.wide - self.left[:, None]) & (at <= self.right[:, None])
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of contexts that are equal, byte by byte, the one with the smallest doc, in order of core; of each context
+        the number of that one; and of those their cores' number."""
+        if not len(self.rows):
+            return (np.zeros(0, np.int64),) * 3
+        key = self.keys()
+        whole = _hash_columns(self.rows, key ^ mix((self.left * 256 + self.right).astype(np.uint64)))
+        order = np.lexsort((self.docs, whole, key))
+        rows, reach = self.rows[order], (self.left * 256 + self.right)[order]
+        unlike = np.ones(rows.shape, bool)
+        unlike[1:] = rows[1:] != rows[:-1]
+        other = unlike[:, self.wide : self.end].any(axis=1)
+        new = unlike.any(axis=1)
+        new[1:] |= reach[1:] != reach[:-1]
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        return order[new], kind, (np.cumsum(other) - 1)[new]
+
+
+def _reaches(before: int) -> list[tuple[int, int]]:
+    """All reaches of 0 to `before` bytes in parts that double from both ends on. Of a line in many texts, windows
+    that reach far out of it differ in their core already, and those that hardly do are mostly equal."""
+    out, a, step = [], 0, 1
+    while 2 * (a + step) <= before:
+        out.append((a, a + step - 1))
+        a, step = a + step, 2 * step
+    return [*out, (a, before - a), *[(before - j, before - i) for i, j in reversed(out)]]
+
+
+def _windows(near: Contexts, group: np.ndarray) -> np.ndarray:
     """Of each context's windows, the smallest doc of all that are equal: (contexts, windows), _FAR where the
-    text ends."""
-    m, wide = rows.shape
-    before = wide - length
-    codes = np.empty((m, wide + 1), np.int64)
-    codes[:, :wide] = rows.astype(np.int64) + m
-    codes[:, wide] = np.arange(m)[::-1]  # every context ends in a code of its own; the last is the least
-    order = suffix_array(codes.ravel(), int(m + 256).bit_length())
-    border = common_prefixes(codes.ravel(), order, length)
-    context, offset = np.divmod(order, wide + 1)
+    text ends. group: numbers of cores, in order; a core is one code."""
+    m, wide = len(near.rows), near.wide
+    codes = np.empty((m, 2 * wide + 2), np.int64)
+    codes[:, :wide] = near.rows[:, :wide].astype(np.int64) + m
+    codes[:, wide] = m + 256 + np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+    codes[:, wide + 1 : -1] = near.rows[:, near.end :].astype(np.int64) + m
+    codes[:, -1] = np.arange(m)[::-1]  # every context ends in a code of its own; the last is the least
+    order = suffix_array(codes.ravel(), int(codes[-1, wide]).bit_length())
+    border = common_prefixes(codes.ravel(), order, wide + 1)
+    context, offset = np.divmod(order, codes.shape[1])
     # Windows that lie in the text.
-    inside = (offset <= before) & (offset >= before - left[context]) & (offset + length <= before + right[context])
-    value = np.where(inside, docs[context], _FAR)
+    inside = (offset <= wide) & (offset >= wide - near.left[context]) & (offset <= near.right[context])
+    value = np.where(inside, near.docs[context], _FAR)
     group = np.cumsum(border) - 1
     least = np.minimum.reduceat(value, np.flatnonzero(border))[group]
-    out = np.full((m, before + 1), _FAR)
+    out = np.full((m, wide + 1), _FAR)
     out[context[inside], offset[inside]] = least[inside]
     return out
 
 
-def _in_batches(rows, left, right, docs, group, length: int) -> np.ndarray:
-    """_windows() of groups of contexts, as many groups at a time as fit STEP bytes. group: sorted."""
-    out = np.full((len(rows), rows.shape[1] - length + 1), _FAR)
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(rows) else np.zeros(0, np.int64)
-    ends, at = np.concatenate([starts[1:], [len(rows)]]), 0
+def _in_batches(near: Contexts, group: np.ndarray) -> np.ndarray:
+    """_windows() of contexts, as many cores at a time as fit STEP codes. group: sorted."""
+    out = np.full((len(near.rows), near.wide + 1), _FAR)
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    ends, at = np.concatenate([starts[1:], [len(group)]]), 0
     while at < len(starts):
         to = at + 1
-        while to < len(starts) and (ends[to] - starts[at]) * (rows.shape[1] + 1) <= STEP:
+        while to < len(starts) and (ends[to] - starts[at]) * (2 * near.wide + 2) <= STEP:
             to += 1
         part = slice(starts[at], ends[to - 1])
-        out[part] = _windows(rows[part], left[part], right[part], docs[part], length)
+        out[part] = _windows(near.take(part), group[part])
         at = to
     return out
 
 
-def _hash_columns(rows: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    out = seed = seed.astype(np.uint64)
-    for i in range(rows.shape[1]):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + rows[:, i] + np.uint64(1)
-    return mix(out ^ mix(seed))
+def _least(near: Contexts, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest doc of all equal windows for each of the different contexts (_FAR where the text ends), and
+    which of these each context is.
+
+    Where more than `hot` contexts have one core, windows are halved by their reach: either half has a longer core,
+    by which the contexts part or, cut to what those windows hold, are equal. Half of half, a window is its own core.
+    """
+    lead, kind, group = near.distinct()
+    own, wide = near.take(lead), near.wide
+    found = np.where(own.inside(), own.docs[:, None], _FAR)
+    if not wide or not len(lead):
+        return found, kind
+    # A window has at least half of its other bytes on one side of the core: contexts whose halves both
+    # stand alone with their core meet only their equals.
+    half = wide // 2
+    sides = [_hash_columns(own.rows[:, i:j], group) for i, j in ((wide - half, wide), (own.end, own.end + half))]
+    meets = np.flatnonzero(~(_alone(group, sides[0]) & _alone(group, sides[1])))
+    many = np.bincount(group[meets], minlength=1)[group[meets]] > hot
+    some, many = meets[~many], meets[many]
+    found[some] = _in_batches(own.take(some), group[some])
+    if len(many):
+        middle = (near.low + near.high) // 2
+        for low, high in ((near.low, middle), (middle + 1, near.high)):
+            part, at = own.take(many).narrow(low, high)
+            least, which = _least(part, hot)
+            found[many[at], near.high - high : near.high - low + 1] = least[which]
+    return found, kind
 
 
 def _least_docs(rows, left, right, docs, gram, length: int) -> np.ndarray:
     """Of each context's windows, the smallest doc of all contexts of its k-gram with the same window;
-    _FAR where the text ends. Contexts are distinct and in order of gram.
+    _FAR where the text ends. rows: the bytes before the k-gram, it and those after it."""
+    found, kind = _least(Contexts(rows, left, right - GRAM, docs, 0, length - GRAM), HOT)
+    return found[kind]
 
-    A k-gram with many contexts (one that starts a common line, say) is taken in steps of how far
-    windows reach to its left: those that reach t to 2t - 1 bytes only need contexts that agree on t
-    bytes to the left and on the bytes to the right that all these windows hold, cut to 2t - 1 bytes
-    on the left. Most of them are then equal, so groups stay small.
-    """
-    before = length - GRAM
-    offset = np.arange(before + 1)[None, :]
-    inside = (offset >= before - left[:, None]) & (offset + length <= before + right[:, None])
-    found = np.where(inside, docs[:, None], _FAR)
-    # A window has at least half of its other bytes on one side of the k-gram: contexts whose halves both
-    # stand alone in their k-gram meet only their equals.
-    half = before // 2
-    sides = [_hash_columns(rows[:, i:j], gram) for i, j in ((before - half, before), (before + GRAM, before + GRAM + half))]
-    meets = np.flatnonzero(~(_alone(gram, sides[0]) & _alone(gram, sides[1])))
-    size = np.unique(gram[meets], return_inverse=True, return_counts=True)
-    hot = size[2][size[1]] > HOT if len(meets) else np.zeros(0, bool)
-    some = meets[~hot]
-    found[some] = _in_batches(rows[some], left[some], right[some], docs[some], gram[some], length)
-    many = meets[hot]
-    t = 0
-    while len(many) and t <= before:
-        reach = min(before, max(0, 2 * t - 1))
-        need = before - reach
-        use = many[(left[many] >= t) & (right[many] >= GRAM + need)]
-        cut_rows, cut_left = rows[use].copy(), np.minimum(left[use], reach)
-        cut_rows[:, : before - reach] = 0
-        key = _hash_columns(rows[use][:, before + GRAM : before + GRAM + need], _hash_columns(rows[use][:, before - t : before], gram[use]))
-        whole = _hash_columns(cut_rows, key ^ mix((cut_left * 256 + right[use]).astype(np.uint64)))
-        order = np.lexsort((docs[use], whole, key))
-        first = np.concatenate([[True], (whole[order][1:] != whole[order][:-1]) | (key[order][1:] != key[order][:-1])]) if len(use) else np.zeros(0, bool)
-        lead = order[first]
-        which = np.empty(len(use), np.int64)
-        which[order] = np.cumsum(first) - 1
-        least = _in_batches(cut_rows[lead], cut_left[lead], right[use][lead], docs[use][lead], key[lead], length)
-        columns = np.arange(before - reach, before - t + 1)
-        found[use[:, None], columns[None, :]] = np.where(inside[use][:, columns], least[which][:, columns], _FAR)
-        t = 2 * t if t else 1
-    return found
-
-
-def _resolve(length: int):
-    """A bucket's contexts to the smallest doc of each of their windows, a row for each chunk:
-    runs (class, from, to, doc)."""
+
+def _resolve(length: int, hot: int):
+    """A bucket's contexts to the smallest doc of each of their windows: runs (number, from, to, doc), a row for each
+    chunk and part of the windows."""
 
     def run(table: pa.Table) -> pa.Table:
-        chunks, heads, rows = table.column("chunk").to_pylist(), [], []
-        for blob in table.column("blob").to_pylist():
+        parts: dict[tuple[int, int], list] = {}
+        for chunk, blob in zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist(), strict=True):
             head, squeezed = _split(blob)
-            heads.append(_read_columns(head, 4))
-            rows.append(np.frombuffer(_expand(squeezed), np.uint8).reshape(len(heads[-1][0]), -1))
-        number, left, right, doc = (np.concatenate([h[i] for h in heads]) for i in range(4))
-        owner, rows = np.repeat(np.arange(len(heads)), [len(h[0]) for h in heads]), np.concatenate(rows)
-        gram = _hash_columns(rows[:, length - GRAM : length], np.zeros(len(rows))).view(np.int64)
-        context = _hash_columns(rows, gram.view(np.uint64) ^ mix((left * 256 + right).astype(np.uint64)))
-        order = np.lexsort((doc, context, gram))
-        g, c = gram[order], context[order]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
-        kind = np.empty(len(order), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        lead = order[new]  # of equal contexts, the one with the smallest doc
-        g, docs = gram[lead], doc[lead]
-        found = _least_docs(rows[lead], left[lead], right[lead], docs, g, length)
-        # Runs of windows with one smallest doc.
-        edge = np.ones((len(lead), found.shape[1] + 1), bool)
-        edge[:, 1:-1] = found[:, 1:] != found[:, :-1]
-        cls, lo = np.nonzero(edge[:, :-1])
-        hi = np.nonzero(edge[:, 1:])[1]
-        low = found[cls, lo]
-        real = low != _FAR
-        cls, lo, hi, low = cls[real], lo[real], hi[real], low[real]
-        runs = np.searchsorted(cls, np.arange(len(lead) + 1))
-        out = []
-        bounds = np.searchsorted(owner, np.arange(len(heads) + 1))
-        for i in range(len(heads)):
-            k = kind[bounds[i] : bounds[i + 1]]
-            count = runs[k + 1] - runs[k]
-            at = np.repeat(runs[k], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            out.append(_columns(np.repeat(number[bounds[i] : bounds[i + 1]], count), lo[at], hi[at], low[at]))
+            *head, low, high = _read_columns(head, 6)
+            parts.setdefault((int(low[0]), int(high[0])), []).append((chunk, head, squeezed))
+        chunks, out = [], []
+        for (low, high), own in sorted(parts.items()):
+            rows = np.concatenate([np.frombuffer(_expand(squeezed), np.uint8).reshape(len(head[0]), -1) for _, head, squeezed in own])
+            number, left, right, doc = (np.concatenate([head[i] for _, head, _ in own]) for i in range(4))
+            found, kind = _least(Contexts(rows, left, right, doc, low, high), hot)
+            # Runs of windows with one smallest doc.
+            edge = np.ones((len(found), found.shape[1] + 1), bool)
+            edge[:, 1:-1] = found[:, 1:] != found[:, :-1]
+            cls, lo = np.nonzero(edge[:, :-1])
+            hi = np.nonzero(edge[:, 1:])[1]
+            least = found[cls, lo]
+            real = least != _FAR
+            cls, lo, hi, least = cls[real], lo[real], hi[real], least[real]
+            lo, hi = lo + (length - GRAM - high), hi + (length - GRAM - high)
+            runs = np.searchsorted(cls, np.arange(len(found) + 1))
+            bounds = np.cumsum([0, *[len(head[0]) for _, head, _ in own]])
+            for i, (chunk, _, _) in enumerate(own):
+                k = kind[bounds[i] : bounds[i + 1]]
+                count = runs[k + 1] - runs[k]
+                at = np.repeat(runs[k], count) + _within(count)
+                chunks.append(chunk)
+                out.append(_columns(np.repeat(number[bounds[i] : bounds[i + 1]], count), lo[at], hi[at], least[at]))
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "blob": pa.array(out, pa.binary())})
 
     return run
@@ -542,7 +615,7 @@ def _finish(length: int):
             for d, doc in enumerate(docs.tolist()):
                 i, j = place_at[d], place_at[d + 1]
                 count = b[i:j] - a[i:j]
-                run_at = np.repeat(a[i:j], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                run_at = np.repeat(a[i:j], count) + _within(count)
                 first = np.repeat(place[i:j], count)
                 gone = low[run_at] < doc
                 more = np.stack([first + lo[run_at], first + hi[run_at] + length], axis=1)[gone]
@@ -596,12 +669,12 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
         base = skew_join(rows, again.withColumn("_again", F.lit(1)), ["doc", "hash"], n, "left").where("_again IS NULL").select("doc", "text", "hash", F.lit(1).cast("long").alias("copies")).unionByName(several)
     base = base.select(F.pmod(F.xxhash64("doc", "hash"), F.lit(chunks)).alias("chunk"), "doc", "copies", "text").mapInArrow(_deal, "chunk long, blob binary")
     prints = base.groupBy("chunk").applyInArrow(_anchors(length, buckets), "bucket long, chunk long, blob binary")
-    met = prints.groupBy("bucket").applyInArrow(_meet, "chunk long, bucket long, blob binary")
+    met = prints.groupBy("bucket").applyInArrow(_meet(CROWD), "chunk long, bucket long, blob binary")
     settled = base.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_settle(length, buckets, context_buckets), _SETTLED)
     settled = cut(settled.select("key", "chunk", "doc", "copies", "n_bytes", "n_removed", "n_spans", "sha", "blob", "kind"), "suffix-settled", ("kind",))
     discard(again)
     names = "doc long, copies long, n_bytes long, n_removed long, n_spans long, sha string"
-    runs = settled.where("kind = 1").select("key", "chunk", "blob").groupBy("key").applyInArrow(_resolve(length), "chunk long, blob binary")
+    runs = settled.where("kind = 1").select("key", "chunk", "blob").groupBy("key").applyInArrow(_resolve(length, HOT), "chunk long, blob binary")
     late = settled.where("kind = 2").select("chunk", "blob").groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInArrow(_finish(length), names)
     out = settled.where("kind = 0").select("doc", "copies", "n_bytes", "n_removed", "n_spans", "sha").unionByName(late)
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
