@@ -639,13 +639,14 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     other columns are dropped. A text of any length is searched whole, by one task that holds about twelve times its
     bytes; texts that wait for other contexts are packed by chunk, so one of more than 2 GB can't be.
 
-    That two contexts are equal is judged by 40 bits of their k-gram's hash, 32 or less of its bucket and 40 of the
+    That all contexts of a k-gram are equal is judged by 40 bits of the k-gram's hash, 32 or less of its bucket and 40 of the
     contexts' own: of different ones, about one in 2 ** 80 pairs of a bucket would pass for equal.
 
     1. Texts are dealt into chunks. In each, anchors are chosen (see Texts); anchors of equal context are
        one class, which is what leaves the chunk, so a passage in many documents of a chunk goes out once.
     2. Classes meet by k-gram. Where all contexts of a k-gram are equal, the smallest id settles them.
-    3. Contexts that differ are compared in buckets: a suffix array of them, its Burrows-Wheeler
+    3. Contexts that differ are compared in buckets (those of a k-gram with more than CROWD of them in parts, by how
+       far windows reach), byte by byte: a suffix array of them, its Burrows-Wheeler
        transform, and intervals of common prefixes extended breadth first up to `length`; each
        interval's smallest id settles its windows.
     4. Chunks cut the bytes that smaller ids have.
